@@ -66,6 +66,8 @@ WHOLE = "|".join([
 SPLIT = r"\s*(?:,\s*and\s+|\s+and\s+|[\n\t|;；、•·&,，/]|\s{2,})\s*"
 #: A value that one cell holds as one: a remark in running words, on one line or wrapped.
 REMARK = rf"^\p{{Lu}}(?=(?:.*\s){{2,}})(?=(?:.*[\s,;])?(?:{_any(REMARK_WORDS)})(?:[\s,;.]|$)|(?i:{_any(REMARK_WORDS)})\s)(?:\p{{L}}|\d|[’'.%-])+(?:(?:[,;]?\s+)(?=\p{{Ll}}|\d|\p{{Lu}})(?:\p{{L}}|\d|[’'.%-])+)*[.]?$"
+#: The commonest field of one value: a number with at most one bracket after it, or one bracket after one word.
+PLAIN = r"^\s*(?:[-−]?\d+(?:,\d{3})*(?:\.\d+)?|[\p{L}\d]+)\s*(?:\([^()\n]*\)|\[[^\[\]\n]*\])?\s*$"
 _CAPITAL_ITEM = r"[,;]\s*\p{Lu}"
 
 
@@ -95,26 +97,43 @@ def _clean_span(span: Column) -> Column:
     return F.when(span.rlike(r'(?s)^".*"$') & (F.length(span) > 1), double).when(span.rlike(r"(?s)^[“„«'‘].+[”“»'’]$"), other).when(span.rlike(r"(?s)^\\.$"), F.substring(span, 2, 1)).otherwise(span)
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once a row: what is bound to a lambda's variable isn't computed again at each mention."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _items_of(flat: Column) -> Column:
+    """Items of a field that is no remark, without its enclosing brackets."""
+    marks = rf"(?:^|(?<=[\s;,|]))[-–*]?\s*{_MARK}+\s*"
+
+    def held(spans: Column) -> Column:
+        return F.array_join(F.transform(F.split(flat, WHOLE, -1), lambda p, i: F.when(i < F.size(spans), F.concat(p, F.lit(OPEN), i.cast("string"), F.lit(CLOSE))).otherwise(p)), "")
+
+    def unmarked(text: Column) -> Column:
+        return F.when(text.rlike(rf"^{_MARK}"), F.regexp_replace(text, marks, "\n")).when(text.rlike(r"^[-–*]\s"), F.regexp_replace(text, r"(?m)^[-–*]\s+", "")).otherwise(text)
+
+    def restore(item: Column, readable: Column) -> Column:
+        looked_up = F.transform(F.split(item, f"[{OPEN}{CLOSE}]", -1), lambda p, i: F.when(i % 2 == 1, F.get(readable, p.try_cast("int"))).otherwise(p))
+        return F.when(item.contains(OPEN), F.trim(F.array_join(looked_up, ""))).otherwise(F.trim(item))
+
+    def from_spans(spans: Column) -> Column:
+        return _let(F.transform(spans, _clean_span), lambda readable: F.filter(F.transform(F.split(_let(held(spans), unmarked), SPLIT, -1), lambda x: restore(x, readable)), lambda x: x != ""))
+
+    return _let(F.regexp_extract_all(flat, F.lit(WHOLE), F.lit(0)), from_spans)
+
+
 def packed_items(value: Column) -> Column:
     """array<string> of the values that one field holds, in the order written.
 
     Null, empty and blank fields give an empty array, and so does a field of delimiters
     only; equal values are all kept; a field of one value gives an array of that value.
     """
-    flat = _inner(_flat(value))
-    spans = F.regexp_extract_all(flat, F.lit(WHOLE), F.lit(0))
-    pieces = F.split(flat, WHOLE, -1)
-    held = F.array_join(F.transform(pieces, lambda p, i: F.when(i < F.size(spans), F.concat(p, F.lit(OPEN), i.cast("string"), F.lit(CLOSE))).otherwise(p)), "")
-    marks = rf"(?:^|(?<=[\s;,|]))[-–*]?\s*{_MARK}+\s*"
-    unmarked = F.when(held.rlike(rf"^{_MARK}"), F.regexp_replace(held, marks, "\n")).when(held.rlike(r"^[-–*]\s"), F.regexp_replace(held, r"(?m)^[-–*]\s+", "")).otherwise(held)
-    readable = F.transform(spans, _clean_span)
 
-    def restore(item: Column) -> Column:
-        return F.trim(F.array_join(F.transform(F.split(item, f"[{OPEN}{CLOSE}]", -1), lambda p, i: F.when(i % 2 == 1, F.get(readable, p.try_cast("int"))).otherwise(p)), ""))
+    def of(flat: Column) -> Column:
+        whole = F.filter(F.array(F.trim(flat)), lambda x: x != "")
+        return F.when(is_remark(flat), whole).otherwise(_let(_inner(flat), _items_of))
 
-    items = F.filter(F.transform(F.split(unmarked, SPLIT, -1), restore), lambda x: x != "")
-    whole = F.filter(F.array(F.trim(flat)), lambda x: x != "")
-    return F.when(value.isNull(), F.array().cast("array<string>")).when(is_remark(_flat(value)), whole).otherwise(items)
+    return F.when(value.isNull(), F.array().cast("array<string>")).otherwise(_let(_flat(value), of))
 
 
 def split_packed(df: DataFrame, column: str, position: str = "value_position", item: str = "item", least: int = 1) -> DataFrame:
@@ -124,7 +143,7 @@ def split_packed(df: DataFrame, column: str, position: str = "value_position", i
     is replaced by it. An empty df gives an empty result with the same columns.
     """
     kept = [F.col(f"`{c}`") for c in df.columns if c not in (position, item)]
-    # most fields hold no delimiter at all: they are told apart before any span is looked for
-    maybe = df.filter(F.col(column).rlike(r"[\n\r\t|;；、•·&,，/\[{]|\sand\s|\s{2,}|\)\s|\.\s")) if least > 1 else df
-    listed = maybe.withColumn("__items", packed_items(F.col(column))).filter(F.size("__items") >= least)
-    return listed.select(*kept, F.posexplode("__items").alias("__at", item)).withColumn(position, F.col("__at") + 1).drop("__at").select(*kept, position, item)
+    # most fields hold no delimiter outside one pair of brackets: they are told apart before any span is looked for
+    maybe = df.filter(F.regexp_replace(F.col(column), PLAIN, "").rlike(r"[\n\r\t|;；、•·&,，/\[{]|\sand\s|\s{2,}|[.)]\s")) if least > 1 else df
+    listed = _let(packed_items(F.col(column)), lambda items: F.when(F.size(items) >= least, items))
+    return maybe.select(*kept, F.posexplode(listed).alias("__at", item)).withColumn(position, F.col("__at") + 1).select(*kept, position, item)
