@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import chunking
+from folioscope.llm import chunking, sentences
 from folioscope.sources.tables import table
 
 
@@ -21,7 +21,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.split_oversized(fields).filter(F.size("pieces") > 1).select("passage_id", "field_name")
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of all answer drafts and of all source sentences of claims."""
+    drafts = table(spark, sf_dir, "academic_drafts").select(F.lit("draft").alias("record_kind"), F.col("draft_id").alias("record_id"), F.col("answer_draft").alias("text"))
+    contexts = table(spark, sf_dir, "claim_contexts").select(F.lit("context").alias("record_kind"), F.col("context_id").alias("record_id"), F.col("source_sentence").alias("text"))
+    return sentences.sentence_units(drafts.unionByName(contexts))
+
+
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found}
 
 TRIM = r"regexp_replace({}, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')"
 ORACLES = {
