@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import chunking, sentences
+from folioscope.llm import chunking, names, sentences
 from folioscope.sources.tables import table
 
 
@@ -21,6 +21,23 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.split_oversized(fields).filter(F.size("pieces") > 1).select("passage_id", "field_name")
 
 
+def author_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, n): every author spelling as stored and how often it is; partly counted before the shuffle."""
+    listed = table(spark, sf_dir, "reference_candidates").select(F.explode("authors").alias("name"))
+    single = table(spark, sf_dir, "academic_references").select(F.col("author").alias("name"))
+    return listed.unionByName(single).filter("name is not null").groupBy("name").agg(F.count("*").alias("n"))
+
+
+def p3_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each author spelling with the entity that it names."""
+    return names.link_names(author_spellings(spark, sf_dir))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every two spellings of one person or study group."""
+    return names.name_pairs(names.link_names(author_spellings(spark, sf_dir)))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentences of all answer drafts and of all source sentences of claims."""
     drafts = table(spark, sf_dir, "academic_drafts").select(F.lit("draft").alias("record_kind"), F.col("draft_id").alias("record_id"), F.col("answer_draft").alias("text"))
@@ -28,7 +45,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(drafts.unionByName(contexts))
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found}
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_entities": p3_entities, "p5_found": p5_found}
 
 TRIM = r"regexp_replace({}, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')"
 ORACLES = {
