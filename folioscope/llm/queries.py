@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import chunking, names, sentences
-from folioscope.sources.tables import table
+from folioscope.llm import chunking, linkage, names, sentences
+from folioscope.sources.tables import checkpoint, sent_once, table
 
 
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,18 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.name_pairs(names.link_names(author_spellings(spark, sf_dir)))
 
 
+def p4_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate pairs of reference and record with their confidence."""
+    refs = sent_once(table(spark, sf_dir, "academic_references").select("reference_id", "title", "author", "year", "venue", "doi"), "reference_id")
+    records = sent_once(table(spark, sf_dir, "reference_candidates").select("candidate_id", "title", "subtitle", "authors", "year", "venue", "container_titles", "doi", "work_type"), "candidate_id")
+    return linkage.link_records(refs, records, checkpoint(p3_entities(spark, sf_dir)))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References and records of one work: those whose confidence is a half or more."""
+    return p4_linked(spark, sf_dir).filter("confidence >= 0.5").select("reference_id", "candidate_id")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentences of all answer drafts and of all source sentences of claims."""
     drafts = table(spark, sf_dir, "academic_drafts").select(F.lit("draft").alias("record_kind"), F.col("draft_id").alias("record_id"), F.col("answer_draft").alias("text"))
@@ -45,7 +57,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(drafts.unionByName(contexts))
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_entities": p3_entities, "p5_found": p5_found}
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_entities": p3_entities, "p4_found": p4_found, "p4_linked": p4_linked, "p5_found": p5_found}
 
 TRIM = r"regexp_replace({}, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')"
 ORACLES = {
