@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import chunking, linkage, names, sentences
+from folioscope.llm import chunking, linkage, names, quality, sentences
 from folioscope.sources.tables import checkpoint, sent_once, table
 
 
@@ -57,7 +57,17 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(drafts.unionByName(contexts))
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_entities": p3_entities, "p4_found": p4_found, "p4_linked": p4_linked, "p5_found": p5_found}
+def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of every document's text."""
+    return quality.document_statistics(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are not natural prose."""
+    return quality.judged_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).filter(~F.col("is_prose")).select("doc_id")
+
+
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_entities": p3_entities, "p4_found": p4_found, "p4_linked": p4_linked, "p5_found": p5_found, "p8_found": p8_found, "p8_statistics": p8_statistics}
 
 TRIM = r"regexp_replace({}, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')"
 ORACLES = {
