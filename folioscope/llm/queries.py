@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import chunking, linkage, names, quality, sentences
+from folioscope.llm import chunking, linkage, mixing, names, packing, quality, sentences, tokens
 from folioscope.sources.tables import checkpoint, sent_once, table
 
 
@@ -57,6 +57,37 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(drafts.unionByName(contexts))
 
 
+def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens; written once, as both a total and each document are asked for."""
+    return checkpoint(tokens.document_sizes(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
+
+
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document, or piece of one, for each spec."""
+    return packing.pack(sizes(spark, sf_dir), table(spark, sf_dir, "pack_specs"))
+
+
+def p6_room(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, tokens and the share of room left over for each spec."""
+    filled = p6_containers(spark, sf_dir).groupBy("pack_id", "shard", "container", F.when(F.col("container") < 0, F.col("piece_no")).alias("piece")).agg(F.sum("n_tokens").alias("tokens"))
+    per = filled.groupBy("pack_id").agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"))
+    specs = table(spark, sf_dir, "pack_specs").select("pack_id", "capacity_tokens")
+    return per.join(F.broadcast(specs), "pack_id").withColumn("room_share", F.round(1 - F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6))
+
+
+def p7_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every draw of every mix with its training position."""
+    own = sizes(spark, sf_dir)
+    return mixing.draws(own, checkpoint(mixing.plan(own, table(spark, sf_dir, "mix_targets"))))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that each mix reaches."""
+    own = sizes(spark, sf_dir)
+    planned = checkpoint(mixing.plan(own, table(spark, sf_dir, "mix_targets")))
+    return mixing.shares(planned, mixing.draws(own, planned))
+
+
 def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The statistics of every document's text."""
     return quality.document_statistics(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -67,7 +98,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).filter(~F.col("is_prose")).select("doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_entities": p3_entities, "p4_found": p4_found, "p4_linked": p4_linked, "p5_found": p5_found, "p8_found": p8_found, "p8_statistics": p8_statistics}
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_entities": p3_entities, "p4_found": p4_found, "p4_linked": p4_linked, "p5_found": p5_found, "p6_containers": p6_containers, "p6_room": p6_room, "p7_mixed": p7_mixed, "p7_shares": p7_shares, "p8_found": p8_found, "p8_statistics": p8_statistics}
 
 TRIM = r"regexp_replace({}, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')"
 ORACLES = {
