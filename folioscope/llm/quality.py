@@ -22,58 +22,99 @@ LISTED_LINES = r"(?m)^(?:[!-~]{41,}|(?=[^\n]{1,240}$)[ \t]*(?:" + "|".join([
     r"[^\n\d]{0,40}(?:[ \t,;]*[-–<(\[]*\d[\d.,%)\]–:]*(?:to [\d.]+\)?)?(?=[ \t,;]|$))+",  # a label and numbers
     r"[^\n]*?(?:\.{4}|\((?:19|20)\d\d[a-z]?\)[.,:][^\n]*\d ?\(\d|(?:19|20)\d\d;\d|\[ ?\]|____|\b[YN] ?/ ?N\b|<-|</)[^\n]*",  # leaders, references, forms, code
 ]) + r")[ \t\r]*$)"
-STOPS = r"[.!?…][\"'”’»)\]]*(?=\s|$)|[。！？।؟]|(?<=[ก-๙])\s"
+#: Ends of sentences; of Thai, which has no stop, the space after a letter.
+STOPS = r"[.!?…ก-๙][\"'”’»)\]]*(?=\s|$)|[。！？।؟]"
+COUNTED = {
+    "words": r"\S+",
+    "stops": STOPS,
+    "digits": r"\d",
+    "symbols": r"[=<>|_\\^~+{}$@§¤°¬¦¨]",
+    "capitals": r"\p{Lu}",
+    "commas": r"[,;]",
+    "stopped_lines": r"[.!?。！？।؟…:;][\"'”’»)」]*[ \t\r]*(?:\n|$)",
+    "short_words": r"(?<![\p{L}\p{N}_])\p{L}{1,3}(?![\p{L}\p{N}_])",
+    "common_words": r"(?i)(?<=\s)(?:the|of|and|to|in|is|was|that|for|with|not|be|by|are|it|der|die|und|das|ist|nicht|le|la|les|des|est|que|el|los|en|de|un|no|se|в|и|не|на|что|το|και|την|في|من|أن|में|है|ने|की)(?=\s)",
+    "single_letters": r"(?<!\S)[\p{L}\p{N},.](?!\S)",
+    "miscoded": r"[\u0080-\u009F]|[ÃÂÐÑÎÏãàèéäåç][\u0080-¿‐-›€™šœžŸ]",
+}
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once a row, whatever the optimiser moves."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
-def _count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern)).cast("double")
+def _distinct_share(t: Column) -> Column:
+    """Share of different ones among sentences and lines of more than 12 characters, numbers aside; 1 where there are fewer than four."""
+    sentences = F.filter(F.split(F.regexp_replace(t, r"\d+", ""), r"[.!?。！？।؟\n]"), lambda s: F.length(s) > 12)
+    return _let(sentences, lambda s: F.when(F.size(s) < 4, F.lit(1.0)).otherwise(F.size(F.array_distinct(s)) / F.size(s)))
+
+
+#: Each statistic: the counts that it is made of, and how. What is not in COUNTED: chars, lines, unlisted (characters outside listed lines) and distinct.
+STATISTICS = {
+    "n_chars": (("chars",), lambda c: c.chars),
+    "n_words": (("words",), lambda c: c.words),
+    "n_lines": (("lines",), lambda c: c.lines),
+    "mean_word_length": (("chars", "words"), lambda c: _share(c.chars, c.words)),
+    "words_per_line": (("words", "lines"), lambda c: _share(c.words, c.lines)),
+    "symbol_share": (("symbols", "chars"), lambda c: _share(c.symbols, c.chars)),
+    "digit_share": (("digits", "chars"), lambda c: _share(c.digits, c.chars)),
+    "upper_share": (("capitals", "chars"), lambda c: _share(c.capitals, c.chars)),
+    "line_end_stop_share": (("stopped_lines", "lines"), lambda c: _share(c.stopped_lines, c.lines)),
+    "short_word_share": (("short_words", "words"), lambda c: _share(c.short_words, c.words)),
+    "common_word_share": (("common_words", "words"), lambda c: _share(c.common_words, c.words)),
+    "words_per_stop": (("words", "stops"), lambda c: _share(c.words, c.stops)),
+    "comma_share": (("commas", "words"), lambda c: _share(c.commas, c.words)),
+    "single_share": (("single_letters", "words"), lambda c: _share(c.single_letters, c.words)),
+    "miscoded_share": (("miscoded", "chars"), lambda c: _share(c.miscoded, c.chars)),
+    "listed_share": (("unlisted", "unbroken"), lambda c: 1 - _share(c.unlisted, c.unbroken)),
+    "distinct_share": (("distinct",), lambda c: c.distinct),
+}
+
+
+def _count(t: Column, name: str) -> Column:
+    if name == "chars":
+        return F.length(t).cast("double")
+    if name == "lines":
+        return F.regexp_count(t, F.lit(r"[^\s][^\n]*")).cast("double")
+    if name == "unbroken":
+        return F.length(F.replace(t, F.lit("\n"), F.lit(""))).cast("double")
+    if name == "unlisted":
+        return F.length(F.replace(F.regexp_replace(t, LISTED_LINES, ""), F.lit("\n"), F.lit(""))).cast("double")
+    if name == "distinct":
+        return _distinct_share(t)
+    return F.regexp_count(t, F.lit(COUNTED[name])).cast("double")
 
 
 def _share(part: Column, whole: Column) -> Column:
     return part / F.greatest(whole, F.lit(1.0))
 
 
-def _distinct_share(t: Column) -> Column:
-    """Share of different ones among sentences and lines of more than 12 characters, numbers aside; 1 where there are fewer than four."""
-    sentences = F.filter(F.split(F.regexp_replace(t, r"\d+", ""), r"[.!?。！？।؟\n]"), lambda s: F.length(s) > 12)
-    # bound to a variable, so that the text is split once
-    return F.get(F.transform(F.array(sentences), lambda s: F.when(F.size(s) < 4, F.lit(1.0)).otherwise(F.size(F.array_distinct(s)) / F.size(s))), 0)
+def with_statistics(text: Column, names, use) -> Column:
+    """use({name: statistic}) of a text, each count taken in one pass; of a null or empty text counts and shares are 0, the share of different sentences is 1."""
+    t = F.coalesce(text, F.lit(""))
+    needed = sorted({c for n in names for c in STATISTICS[n][0]})
 
+    class Counts:
+        def __init__(self, row: Column):
+            self.row = row
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Named statistics of a text; of a null or blank text all counts and shares are 0."""
-    t = F.coalesce(text, F.lit(""))
-    chars = F.length(t).cast("double")
-    words, lines = _count(t, r"\S+"), _count(t, r"[^\s][^\n]*")
-    wide = _count(t, r"[฀-๿぀-ヿ一-鿿]{4}")
-    return {
-        "n_chars": chars,
-        "n_words": words,
-        "n_lines": lines,
-        "mean_word_length": _share(chars, words),
-        "words_per_line": _share(words, lines),
-        "symbol_share": _share(_count(t, r"[=<>|_\\^~+{}$@§¤°¬¦¨]"), chars),
-        "digit_share": _share(_count(t, r"\d"), chars),
-        "upper_share": _share(_count(t, r"\p{Lu}"), chars),
-        "line_end_stop_share": _share(_count(t, r"[.!?。！？।؟…:;][\"'”’»)」]*[ \t\r]*(?:\n|$)"), lines),
-        "short_word_share": _share(_count(t, r"(?<![\p{L}\p{N}_])\p{L}{1,3}(?![\p{L}\p{N}_])"), words),
-        "common_word_share": _share(_count(t, r"(?i)(?<=\s)(?:the|of|and|to|in|is|was|that|for|with|not|be|by|are|it|der|die|und|das|ist|nicht|le|la|les|des|est|que|el|los|en|de|un|no|se|в|и|не|на|что|το|και|την|في|من|أن|में|है|ने|की)(?=\s)"), words),
-        "words_per_stop": words / F.greatest(_count(t, STOPS), F.lit(1.0)),
-        "comma_share": _share(_count(t, r"[,;]"), words),
-        "single_share": _share(_count(t, r"(?<!\S)[\p{L}\p{N},.](?!\S)"), words),
-        "miscoded_share": _share(_count(t, r"[\u0080-\u009F]|[ÃÂÐÑÎÏãàèéäåç][\u0080-¿‐-›€™šœžŸ]"), chars),
-        "listed_share": 1 - _share(F.length(F.regexp_replace(F.regexp_replace(t, LISTED_LINES, ""), r"\n+", "")).cast("double"), F.length(F.regexp_replace(t, r"\n+", "")).cast("double")),
-        "distinct_share": _distinct_share(t),
-        "wide_share": _share(wide * 4, chars),
-        "clash_share": _share(_count(t, r" (?:the|an?|our|its|every) (?:the|an?|of|in|is|was|are|were|by|and|or|with|for|from|that|should|do|does|not|on|at|to|but|we|which|when|if)(?= )|(?: (?:of|to|from|with|by|and|in|for)){2,}(?= )| (?:is|was|are|were|does|do|should|would|could|cannot|can) (?:is|was|are|were|of|the the|does|do|should|and|or|but|from|that that)(?= )"), words),
-    }
+        def __getattr__(self, name: str) -> Column:
+            return self.row[name]
+
+    counts = F.struct(*[_count(t, c).alias(c) for c in needed])
+    return _let(counts, lambda row: use({n: STATISTICS[n][1](Counts(row)) for n in names}))
+
+
+def statistics(text: Column, names=tuple(STATISTICS)) -> Column:
+    """A struct of the named statistics."""
+    return with_statistics(text, names, lambda found: F.struct(*[found[n].alias(n) for n in names]))
 
 
 def document_statistics(df: DataFrame, column: str = "text") -> DataFrame:
     """df without its text but with one column for each statistic; columns of those names are replaced."""
-    found = statistics(F.col(column))
-    kept = [c for c in df.columns if c != column and c not in found]
-    return df.select(*kept, *[F.round(v, 6).alias(k) for k, v in found.items()])
+    kept = [c for c in df.columns if c != column and c not in STATISTICS]
+    return df.select(*kept, statistics(F.col(column)).alias("__found")).select(*kept, *[F.round(F.col("__found")[n], 6).alias(n) for n in STATISTICS])
 
 
 def verdict(stats: dict[str, Column], rules=RULES) -> Column:
@@ -90,9 +131,7 @@ def verdict(stats: dict[str, Column], rules=RULES) -> Column:
 def judged_documents(df: DataFrame, column: str = "text") -> DataFrame:
     """df without its text, with `is_prose`. A null or blank text is no prose."""
     used = {name for rule in RULES for name, _, _ in rule}
-    stats = statistics(F.col(column))
     kept = [c for c in df.columns if c not in (column, "is_prose")]
     blank = F.trim(F.coalesce(F.col(column), F.lit(""))) == ""
-    # the statistics become columns first, so that each is computed once for all the rules that ask for it
-    computed = df.select(*kept, blank.alias("__blank"), *[stats[n].alias(f"__{n}") for n in sorted(used)])
-    return computed.select(*kept, F.when(F.col("__blank"), False).otherwise(verdict({n: F.col(f"__{n}") for n in used})).alias("is_prose"))
+    judged = with_statistics(F.col(column), sorted(used), verdict)
+    return df.select(*kept, F.when(blank, False).otherwise(judged).alias("is_prose"))

@@ -9,7 +9,7 @@ RULES = [
     [('words_per_stop', '>=', 32.64), ('mean_word_length', '>=', 5.778)],
     [('comma_share', '>=', 0.4714), ('mean_word_length', '<=', 7.522)],
     [('comma_share', '<=', 0.01561), ('words_per_stop', '>=', 28.82), ('digit_share', '>=', 0.006626)],
-    [('distinct_share', '<=', 0.4286), ('words_per_stop', '>=', 12.11)],
+    [('distinct_share', '<=', 0.4286), ('words_per_stop', '>=', 11.94)],
     [('mean_word_length', '<=', 4.447)],
     [('comma_share', '<=', 0.01072), ('words_per_stop', '>=', 22.59), ('words_per_line', '>=', 25.42)],
     [('comma_share', '<=', 0.008092), ('distinct_share', '<=', 0.2129)],

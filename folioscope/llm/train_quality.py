@@ -18,7 +18,7 @@ USED = ("n_words", "mean_word_length", "words_per_line", "symbol_share", "digit_
 
 def table_of(spark: SparkSession, rows: list[tuple[int, str, bool]]) -> tuple[dict[str, np.ndarray], np.ndarray]:
     df = spark.createDataFrame(rows, "id long, text string, is_prose boolean")
-    found = df.select("id", "is_prose", *[v.alias(k) for k, v in statistics(F.col("text")).items() if k in USED]).orderBy("id").toPandas()
+    found = df.select("id", "is_prose", statistics(F.col("text"), USED).alias("s")).select("id", "is_prose", "s.*").orderBy("id").toPandas()
     return {k: found[k].to_numpy(dtype=float) for k in USED}, ~found["is_prose"].to_numpy(dtype=bool)
 
 
