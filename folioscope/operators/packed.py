@@ -55,7 +55,7 @@ WHOLE = "|".join([
     r"(?<![\d.,])\d{1,3}(?:,\d{3})+(?!\d)",
     r"(?<=\d)[·,](?=\d+[ ]?%)",
     r"\p{Lu}[\p{L}'’-]+, \p{Lu}\.(?:[ -]?\p{Lu}\.)*",
-    rf", {_any(QUALIFIERS)}(?=\s*(?:$|[{_DELIMITER}\]}}]|\sand\s))",
+    rf", {_any(QUALIFIERS)}(?=\s*(?:$|[{_DELIMITER}\]}}]|\sand\s)|\s{{2,}}|\s+{_MARK})",
     r"(?<=\)), lag \d+",
     rf"(?<![\p{{L}}\d/]){_any(SLASH_TERMS)}(?![\p{{L}}\d])",
     rf"(?<![\p{{L}}/]){_any(UNITS_ABOVE)}/{_any(UNITS_BELOW)}(?![\p{{L}}\d])",
