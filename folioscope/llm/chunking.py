@@ -42,29 +42,31 @@ def _character_cuts(text: str, start: int, end: int, room: int) -> Iterator[int]
         start = cut
 
 
-def _parts(text: str, start: int, end: int, room: int, level: int = 0) -> Iterator[tuple[int, int]]:
-    """Natural parts of text[start:end], none longer than room, in order and without gaps."""
+def _parts(text: str, start: int, end: int, room: int, level: int = 0, after: int = -1) -> Iterator[tuple[int, int, int]]:
+    """Natural parts of text[start:end] in order and without gaps, none longer than room, each with the level of the separator behind it (`after` for the last)."""
     if end - start <= room:
-        yield start, end
+        yield start, end, after
         return
     if level == len(SEPARATORS):
         for cut in _character_cuts(text, start, end, room):
-            yield start, cut
+            yield start, cut, level
             start = cut
-        yield start, end
+        yield start, end, after
         return
     for m in SEPARATORS[level].finditer(text, start, end):
         if start < m.end() < end:
-            yield from _parts(text, start, m.end(), room, level + 1)
+            yield from _parts(text, start, m.end(), room, level + 1, level)
             start = m.end()
-    yield from _parts(text, start, end, room, level + 1)
+    yield from _parts(text, start, end, room, level + 1, after)
 
 
 def pieces_of(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
     """(start, start without the overlap, end) of each piece of text, outer white space left out.
 
     No piece is longer than limit; each after the first starts with the last `overlap`
-    characters before it; the parts without the overlap join to the trimmed text.
+    characters before it; the parts without the overlap join to the trimmed text. Parts are
+    packed as long as they fit; the piece then ends at the most natural of the places that
+    leave it at least half full.
     """
     overlap = max(0, min(overlap, limit - 1))
     first, last = len(text) - len(text.lstrip(" \t\r\n")), len(text.rstrip(" \t\r\n"))
@@ -72,15 +74,19 @@ def pieces_of(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]
         return []
     if last - first <= limit:
         return [(first, first, last)]
-    out, core, end = [], first, first
-    for a, b in _parts(text, first, last, limit - overlap):
-        if out or end > core:
-            back = core if not out else max(first, core - overlap)
-            if b - back > limit:
-                out.append((back, core, end))
-                core = end
-        end = b
-    out.append((max(first, core - overlap) if out else core, core, end))
+    parts = list(_parts(text, first, last, limit - overlap))
+    out, at = [], 0
+    while at < len(parts):
+        core = parts[at][0]
+        back = max(first, core - overlap) if out else core
+        k = at
+        while k + 1 < len(parts) and parts[k + 1][1] - back <= limit:
+            k += 1
+        if k + 1 < len(parts):
+            half = [i for i in range(at, k + 1) if parts[i][1] - back >= limit / 2] or [k]
+            k = min(half, key=lambda i: (parts[i][2], -i))
+        out.append((back, core, parts[k][1]))
+        at = k + 1
     return out
 
 

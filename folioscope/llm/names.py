@@ -56,7 +56,7 @@ def parse_name(name: str) -> tuple[str, list[str], str, bool]:
     its other words. A spelling without letters has no tokens.
     """
     raw = re.findall(r"[^\W\d_]+(?:[-’'][^\W\d_]+)*\.?|,", unicodedata.normalize("NFC", name))
-    words = [w for w in raw if w == "," or folded(w).replace(".", "") not in TITLES | SUFFIXES]
+    words = [w for w in raw if w == "," or w.lower().replace(".", "") not in TITLES | SUFFIXES]
     if len(raw) == 2 and "," not in raw and len(words) == 1 and raw[1].isupper() and len(raw[1]) <= 3:
         words = raw  # initials that look like a degree
     while words and words[-1] == ",":

@@ -25,10 +25,10 @@ def insert(trie: dict, word: str) -> None:
     trie[END] = word
 
 
-def within_one(trie: dict, word: str) -> set[str]:
-    """Words of the trie that one edit or none turns into word. The automaton's states are (place in word, edits left)."""
+def within(trie: dict, word: str, edits: int = 1) -> set[str]:
+    """Words of the trie that at most so many edits (1 or 0) turn into word. The automaton's states are (place in word, edits left)."""
     found: set[str] = set()
-    todo: list[tuple[dict, int, int]] = [(trie, 0, 1)]
+    todo: list[tuple[dict, int, int]] = [(trie, 0, edits)]
     n = len(word)
     while todo:
         node, i, left = todo.pop()
@@ -54,7 +54,7 @@ def within_one(trie: dict, word: str) -> set[str]:
 
 
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (shard, role): first the strings filed there, then those that look for partners."""
+    """Rows sorted by (shard, role): first the strings filed there (0), then those that look for partners one edit away (1) or at none, an exchange being made already (2)."""
     shard, trie, whole = None, {}, {}
     for rows in batches:
         left, right = [], []
@@ -65,7 +65,7 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 insert(trie, rest)
                 whole.setdefault(rest, []).append(word)
             elif whole:
-                for near in within_one(trie, rest):
+                for near in within(trie, rest, 2 - role):
                     for other in whole[near]:
                         if other != word:
                             left.append(min(other, word))
@@ -96,7 +96,7 @@ def trie_join(words: DataFrame, column: str = "word", least_length: int = 6) ->
         entries.append(entry(1, length, False, F.right(w, tail), F.left(w, n - tail)))
     # two letters exchanged across the middle change both halves
     swapped = F.concat(F.left(w, half - 1), F.substr(w, half + 1, F.lit(1)), F.substr(w, half, F.lit(1)), F.substr(w, half + 2, n))
-    entries.append(entry(1, n, True, F.left(swapped, half), F.substr(swapped, half + 1, n)))
+    entries.append(entry(2, n, True, F.left(swapped, half), F.substr(swapped, half + 1, n)))
     filed = own.select(F.inline(F.array(*entries)))
     found = filed.repartition("shard").sortWithinPartitions("shard", "role").mapInPandas(_walk, "left_word string, right_word string")
     return found.distinct()

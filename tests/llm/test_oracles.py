@@ -1,0 +1,25 @@
+from pathlib import Path
+
+import duckdb
+import pytest
+
+from folioscope.llm.queries import ORACLES, QUERIES
+
+DATA = Path("/root/testdata/sf0.001")
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test data")
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_oracle(spark, name):
+    con = duckdb.connect()
+    for f in DATA.glob("*.parquet"):
+        con.sql(f"CREATE VIEW {f.stem} AS FROM '{f}'")
+    theirs = con.sql(ORACLES[name])
+    assert sorted(map(tuple, QUERIES[name](spark, str(DATA)).select(*theirs.columns).collect())) == sorted(theirs.fetchall())
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test data")
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+def test_runs(spark, name):
+    df = QUERIES[name](spark, str(DATA))
+    assert df.count() == df.distinct().count() > 0
