@@ -9,11 +9,11 @@ from folioscope.functions.text import SENTENCE_STOP
 from folioscope.operators import checks as K
 from folioscope.operators import rules as R
 from folioscope.operators.segments import sentence_rows
-from folioscope.sources.tables import table
+from folioscope.sources.tables import spread, table
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def _quotes(spark: SparkSession, d: str) -> DataFrame:
