@@ -12,8 +12,8 @@ import random
 #: How many documents are made; the bound of the labelled set.
 LABELLED = 9000
 
-NOUNS = "survey cohort clinic sample village teacher nurse parent worker diary scale trial interview visit record outcome estimate interval model variance slope table figure appendix protocol reviewer author reply comment prior dose arm site week month score rater ward sleep memory balance strength fatigue hearing speech reading vision injury wound bone skin noise diet".split()
-ADJECTIVES = "large small unclear plausible modest robust early late rural urban older younger missing complete partial stable weak strong adjusted planned fragile careful recent blinded".split()
+NOUNS = "survey cohort clinic sample village teacher nurse parent worker diary scale trial interview visit record outcome estimate interval model variance slope table figure appendix protocol reviewer author reply comment prior dose arm site week month score rater ward sleep memory balance strength fatigue hearing speech reading vision injury wound bone skin noise diet heterogeneity regression interpretation measurement attendance imputation participant questionnaire randomisation recommendation pressure-pain follow-up-visit step-counter sensitivity-analysis".split()
+ADJECTIVES = "large small unclear plausible modest robust early late rural urban older younger missing complete partial stable weak strong adjusted planned fragile careful recent blinded preregistered well-supported hierarchical cross-classified".split()
 VERBS = "shows suggests exceeds misses supports contradicts reports omits confirms precedes limits explains describes mentions repeats".split()
 #: Sentences of other languages, with a place for a number (#) and for a noun (@), and the nouns.
 OTHER = {
@@ -75,14 +75,15 @@ class Maker:
 
     def terse(self) -> str:
         r, n = self.r, self.n
-        return r.choice([f"No {n()}s occurred.", f"{n().capitalize()} stayed {self.a()}.", f"Two {n()}s disagreed.", f"{n().capitalize()} fell by {self.number()}.", f"{r.randrange(90)} {n()}s enrolled; {r.randrange(9)} withdrew.", f"Mean {n()}: {self.number()}."])
+        return r.choice([f"No {n()}s occurred.", f"{n().capitalize()} stayed {self.a()}.", f"Two {n()}s disagreed.", f"{n().capitalize()} fell by {self.number()}.", f"{r.randrange(90)} {n()}s enrolled; {r.randrange(9)} withdrew.", f"The mean {n()} was {self.number()}."])
 
     def prose(self, size: int) -> str:
         r, out, at = self.r, [], 0
         terse = r.random() < 0.08
         lang = r.choice([*["en"] * 12, *OTHER, "th"])
-        if lang != "en" and r.random() < 0.3:
-            size *= 3
+        if lang != "en":
+            # formulaic texts say a sentence four times, but no more
+            size = min(size * r.choice([1, 1, 3, 9]), 40 * len(OTHER[lang][0].split()) * len(OTHER[lang][1]) * 4)
         while at < size:
             s = self.terse() if terse else self.sentence() if lang == "en" or r.random() < 0.08 else self.foreign(lang)
             out.append(s)
@@ -130,7 +131,7 @@ class Maker:
         cell = lambda: r.choice([number(), number(), f"{number()} ({number()}, {number()})", f"{r.randrange(900)} ({r.uniform(0, 99):.1f}%)", f"{number()} [{number()}; {number()}]"])
         columns, mark = r.randrange(2, 8), r.choice(["- ", "• ", "* ", "– ", "", "", None, "()", "[ ] "])
         end = r.choice(["", "", ";", ",", "", "."])
-        kind = r.choice("table columns spaces matrix key key references contents form list list words words salad salad commas bytes hex miscoded noisy broken spaced onebyone repeated repeated code footer log names urls".split())
+        kind = r.choice("table columns spaces matrix key key references contents form list list words words salad salad commas bytes hex miscoded noisy broken spaced onebyone repeated repeated repeated code footer log names urls".split())
         counted = iter(range(1, 10000))
 
         def item() -> str:
@@ -179,7 +180,7 @@ class Maker:
             "table": lambda: "| " + " | ".join([n(), *(cell() for _ in range(columns))]) + " |\n", "columns": lambda: sep.join([n(), *(cell() for _ in range(columns))]) + "\n",
             "spaces": lambda: "   ".join([f"{n()} {n()}", *(cell() for _ in range(columns))]) + "\n", "matrix": lambda: " ".join(number() for _ in range(r.randrange(4, 10))) + "\n",
             "key": lambda: f"{n()}_{n()}{key}{r.choice([number(), 'ok', 'null', 'true', f'{r.getrandbits(48):012x}'])}\n", "references": lambda: ref() + "\n",
-            "contents": lambda: f"{r.randrange(1, 9)}.{r.randrange(1, 9)} {a().capitalize()} {n()}s {'.' * r.randrange(6, 50)} {r.randrange(90)}\n", "form": lambda: shape() + "\n",
+            "contents": lambda: f"{r.randrange(1, 9)}.{r.randrange(1, 9)} {a().capitalize()} {n()}s {r.choice(['.', '. ']) * r.randrange(6, 50)} {r.randrange(90)}\n", "form": lambda: shape() + "\n",
             "list": lambda: item() + "\n", "words": lambda: r.choice([n(), a(), n() + " " + n()]) + glue, "salad": lambda: r.choice(words_of).strip(".?!") + " ",
             "commas": lambda: r.choice(words_of).strip(".?!") + ", ", "code": lambda: r.choice([f"x{next(counted)}$v{r.randrange(90)} <- ifelse(is.na(x{r.randrange(9)}), {number()}, x / {r.randrange(90)});\n", f"  if ({n()}[{r.randrange(9)}] > {number()}) {{ {n()} = {number()}; }}\n", f"def {n()}_{n()}(x): return x * {number()}\n"]),
             "footer": lambda: f"{one} {r.choice(['', 'Page ', '- '])}{next(counted)}\n", "log": lambda: f"2024-0{r.randrange(1, 9)}-1{r.randrange(9)} 1{r.randrange(9)}:{r.randrange(10, 59)}:{r.randrange(10, 59)} INFO {n()}.{n()} {n()}={number()} status=ok\n",
@@ -197,7 +198,7 @@ class Maker:
         r = self.r
         size = int(min(9000, max(40, r.lognormvariate(6.3, 0.9))))
         if r.random() < 0.55:
-            return self.prose(size), True
+            return self.prose(size if r.random() > 0.12 else 12), True
         text, _ = self.junk(max(size, 90))
         top = r.random()
         if top < 0.25:
