@@ -132,6 +132,6 @@ def judged_documents(df: DataFrame, column: str = "text") -> DataFrame:
     """df without its text, with `is_prose`. A null or blank text is no prose."""
     used = {name for rule in RULES for name, _, _ in rule}
     kept = [c for c in df.columns if c not in (column, "is_prose")]
-    blank = F.trim(F.coalesce(F.col(column), F.lit(""))) == ""
+    blank = ~F.coalesce(F.col(column).rlike(r"\S"), F.lit(False))
     judged = with_statistics(F.col(column), sorted(used), verdict)
     return df.select(*kept, F.when(blank, False).otherwise(judged).alias("is_prose"))
