@@ -13,14 +13,16 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.quality_rules import RULES
 
+_STARTS, _OTHER = r"[.(12\[_YN☐☑☒□<]", r"[^\n.(12\[_YN☐☑☒□<]"
 #: Lines that hold no running text, each kind by its form; only lines of up to 240 characters are looked at, but for encoded bytes.
 LISTED_LINES = r"(?m)^(?:[!-~]{41,}|(?=[^\n]{1,240}$)[ \t]*(?:" + "|".join([
     r"[^\n|\t=]*[|\t=][^\n]*\S",  # columns, keys and values
     r"[^\n]*(?:[,{}]|(?<!\p{IsGreek});)",  # items that end with a mark of a list, and code
     r"(?:[-–—•*·▪]\s|\[[ xX\d]{0,3}\]\s|\(?(?:\d{1,3}|[a-zA-Z]|[ivx]{2,4})[.)]\s+(?:\p{Ll}|[^\n]{0,140}[^\n.?!。？！।؟ก-๙”\")\s][ \t]*$)|\d+(?:\.\d+)+\s)[^\n]*",  # items
     r"[!-~]{1,40}(?:[ \t][!-~]{1,24})?",  # a word or two
-    r"[^\n\d]{0,40}(?:[ \t,;]*[-–<(\[]*\d[\d.,%)\]–:]*(?:to [\d.]+\)?)?(?=[ \t,;]|$)){2,}",  # a label and numbers
-    r"[^\n]*?(?:\. ?\. ?\. ?\.|\((?:19|20)\d\d[a-z]?\)[.,:][^\n]*\d ?\(\d|(?:19|20)\d\d;\d|\[ ?\]|____|\b[YN] ?/ ?N\b|[☐☑☒□]|<-|</)[^\n]*",  # leaders, references, forms, code
+    r"[^\n\d]{0,40}(?:[ \t,;]*+[-–<(\[]*+\d[\d.%)\]–:]*+(?:to [\d.]+\)?)?+(?=[ \t,;]|$)){2,}+[,;]?",  # a label and numbers
+    # leaders, references, forms, code; the characters that none of them starts with are skipped in one go
+    rf"{_OTHER}*+(?:{_STARTS}{_OTHER}*+)*?(?:\. ?\. ?\. ?\.|\((?:19|20)\d\d[a-z]?\)[.,:][^\n]*\d ?\(\d|(?:19|20)\d\d;\d|\[ ?\]|____|\b[YN] ?/ ?N\b|[☐☑☒□]|<-|</)[^\n]*",
 ]) + r")[ \t\r]*$)"
 #: Ends of sentences; of Thai, which has no stop, the space after a letter.
 STOPS = r"[.!?…ก-๙][\"'”’»)\]]*(?=\s|$)|[。！？।؟]"
