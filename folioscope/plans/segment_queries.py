@@ -37,10 +37,10 @@ def segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def segment_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Documents whose segments, every hundredth of them left out, no longer cover them."""
-    docs = _documents(spark, d)
-    rows = S.fixed_segments(docs, "doc_id", "text", 800).filter("not (doc_id % 100 = 0 and segment_no = 2)")
-    return S.coverage_faults(rows, docs, "doc_id", "text")
+    """How far the context excerpts of each draft's claims are from covering the draft exactly: gaps, overlaps, changed text, truncation."""
+    excerpts = table(spark, d, "claim_contexts").filter("context_start is not null and context_end is not null and draft_id is not null")
+    rows = excerpts.select("draft_id", F.col("context_start").alias("start_char"), F.col("context_end").alias("end_char"), F.col("context_excerpt").alias("segment"))
+    return S.coverage_faults(rows, table(spark, d, "academic_drafts").select("draft_id", "answer_draft"), "draft_id", "answer_draft")
 
 
 def paragraph_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -105,9 +105,10 @@ ORACLES = {
         j AS (SELECT *, len(list_intersect(w, b)) AS x, len(w) + len(b) - len(list_intersect(w, b)) AS y FROM l WHERE len(w) >= 8 AND len(b) >= 8)
         SELECT doc_id, sentence_no, round(x / y, 6) AS jaccard FROM j WHERE x / y >= 0.9 AND greatest(length(sentence), n) / least(length(sentence), n) <= 1.15""",
     "segments": f"SELECT doc_id, segment_no, start_char, end_char, md5(segment) AS segment_md5 FROM {_SEG}",
-    "segment_coverage": f"""WITH s AS (SELECT * FROM {_SEG} WHERE NOT (doc_id % 100 = 0 AND segment_no = 2)), l AS (SELECT *, coalesce(lag(end_char) OVER (PARTITION BY doc_id ORDER BY start_char), 0) AS b FROM s)
-        SELECT DISTINCT doc_id, 'gap' AS fault FROM l WHERE start_char > b
-        UNION SELECT doc_id, CASE WHEN length(text) = 0 THEN 'empty source' WHEN e IS NULL THEN 'no segment' ELSE 'truncated' END FROM documents LEFT JOIN (SELECT doc_id, max(end_char) AS e FROM s GROUP BY 1) USING (doc_id) WHERE e IS NULL OR e < length(text)""",
+    "segment_coverage": """WITH s AS (SELECT draft_id, context_start AS a, context_end AS b, context_excerpt AS t FROM claim_contexts WHERE context_start IS NOT NULL AND context_end IS NOT NULL AND draft_id IS NOT NULL),
+        l AS (SELECT s.*, answer_draft, coalesce(lag(b) OVER (PARTITION BY draft_id ORDER BY a, b), 0) AS before FROM s JOIN academic_drafts USING (draft_id))
+        SELECT DISTINCT draft_id, CASE WHEN a > before THEN 'gap' WHEN a < before THEN 'overlap' ELSE 'changed text' END AS fault FROM l WHERE a > before OR a < before OR substring(answer_draft, a + 1, b - a) <> t
+        UNION SELECT draft_id, CASE WHEN coalesce(answer_draft, '') = '' AND e IS NULL THEN 'empty source' WHEN e IS NULL THEN 'no segment' ELSE 'truncated' END FROM academic_drafts LEFT JOIN (SELECT draft_id, max(b) AS e FROM s GROUP BY 1) USING (draft_id) WHERE e IS NULL OR e < length(coalesce(answer_draft, ''))""",
     "paragraph_counts": """WITH p AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '\\n\\s*\\n', chr(1), 'g'), chr(1))) AS p FROM documents)
         SELECT doc_id, count(*) AS paragraphs, max(length(trim(p, ' '))) AS longest FROM p WHERE trim(p, ' ') <> '' GROUP BY 1""",
     "page_lines": f"""WITH l AS (SELECT *, last_value(TRY_CAST(nullif(regexp_extract(line, '^\\[Page (\\d+)\\]', 1), '') AS INTEGER) IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS page FROM {_LINES})
