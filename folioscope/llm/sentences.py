@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from folioscope.sources.tables import checkpoint
+
 #: Least share of a token among the tokens counted in the corpus, and its least count.
 LEAST_SHARE, LEAST_COUNT = 1e-4, 3
 
@@ -333,6 +335,7 @@ def corpus_counts(texts: DataFrame, column: str = "text") -> DataFrame:
 
 def corpus_fallback(counts: DataFrame, least_share: float = LEAST_SHARE, least_count: int = LEAST_COUNT) -> tuple[frozenset[str], frozenset[str]]:
     """(abbreviations, common words) by the counts of the whole corpus; each at most 1 / least_share tokens, so both fit the driver."""
+    counts = checkpoint(counts)  # read three times below
     totals = counts.groupBy("kind").agg(F.sum("n").alias("all_n"))
     shares = counts.join(F.broadcast(totals), "kind").filter((F.col("n") >= F.col("all_n") * least_share) & (F.col("n") >= least_count))
     by = shares.filter("kind != 'plain'").select("kind", "token", "n")
