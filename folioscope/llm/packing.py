@@ -89,7 +89,9 @@ def pack(sizes: DataFrame, specs: DataFrame) -> DataFrame:
     negative container numbers. Documents of a null or unknown source are in no named scope.
     """
     few = specs.filter("capacity_tokens > 0").select("pack_id", F.col("capacity_tokens").cast("int").alias("capacity_tokens"), "scope_source")
-    scoped = sizes.join(F.broadcast(few), F.col("scope_source").isNull() | (F.col("scope_source") == F.col("source")))
+    # each document asks for the specs of its source and for those of all sources, so that the join is by an equal key
+    asked = sizes.withColumn("scope", F.explode(F.array(F.concat(F.lit("="), "source"), F.lit("*"))))
+    scoped = asked.join(F.broadcast(few.withColumn("scope", F.coalesce(F.concat(F.lit("="), "scope_source"), F.lit("*")))), "scope").drop("scope")
     totals = scoped.groupBy("pack_id", "capacity_tokens").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("items"))
     shards = totals.select("pack_id", F.greatest(F.lit(1), F.ceil(F.greatest(F.col("tokens") / F.col("capacity_tokens") / CONTAINERS, F.col("items") / ITEMS))).cast("int").alias("shards"))
     capacity = F.col("capacity_tokens")
