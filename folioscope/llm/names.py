@@ -106,7 +106,8 @@ def parsed_names(spellings: DataFrame) -> DataFrame:
     name stands first with many partners, a surname does not.
     """
     # written once: the branches below would each parse all names again
-    rows = checkpoint(spellings.withColumn("p", _parse("name")).select("name", "n", "p.*").filter(F.size("tokens") > 0))
+    # and not deterministic in name, or the filter on its result would move it before the counting of spellings
+    rows = checkpoint(spellings.withColumn("p", _parse.asNondeterministic()("name")).select("name", "n", "p.*").filter(F.size("tokens") > 0))
     first, last = F.element_at("tokens", 1), F.element_at("tokens", -1)
     two = rows.filter((F.col("kind") == "person") & (F.size("tokens") > 1))
     ends = two.select(F.inline(F.array(F.struct(first.alias("token"), F.lit(1).alias("leads"), last.alias("partner")), F.struct(last.alias("token"), F.lit(0).alias("leads"), first.alias("partner"))))).distinct()
