@@ -46,8 +46,11 @@ def is_meta(heading: Column) -> Column:
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
-    """The k best rows of df(query_id, id, score) per query; ties by the lower id. Scores are rounded to 4 places after ranking."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    """The k best rows of df(query_id, id, score) per query; ties by the lower id. Scores are rounded to 4 places after ranking.
+
+    Scores that differ in the tenth place only are a tie: the order in which a sum was made shows there.
+    """
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k).withColumn("score", F.round("score", 4)).select("query_id", "id", "rank", "score")
 
 

@@ -90,7 +90,7 @@ _COSINE = f"""{_BASE}, raw AS (SELECT id, term, tf * idf AS r FROM post JOIN idf
 ask AS ({_tokens(_ASKED.format(_ALIAS), "draft_id", "text")}), qraw AS (SELECT id AS query_id, term, tf * idf AS r FROM ask JOIN idf USING (term)),
 q AS (SELECT query_id, term, r / sqrt(sum(r * r) OVER (PARTITION BY query_id)) AS wq FROM qraw),
 scored AS (SELECT query_id, w.id, sum(w * wq) AS score FROM w JOIN q USING (term) GROUP BY ALL)"""
-_TOP = "SELECT query_id, id, rank, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM {}) WHERE rank <= 3"
+_TOP = "SELECT query_id, id, rank, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM {}) WHERE rank <= 3"
 _META = " OR ".join(f"starts_with(lower(trim(coalesce(heading, ''))), '{h}')" for h in R.META_HEADINGS)
 _CLAIM = "unnest(list_distinct(list_filter(regexp_extract_all(lower({}), '\\d+(?:\\.\\d+)?|[a-z][a-z0-9-]+'), lambda t: regexp_matches(t, '^\\d') OR (length(t) > 2 AND t NOT IN (" + _STOP + ")))))"
 
