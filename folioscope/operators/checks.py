@@ -86,8 +86,8 @@ def display_items(df: DataFrame, id_column: str, text: str, most: int = 12) -> D
 
 def looks_truncated(text: Column) -> Column:
     """True for an empty text or one that ends within a sentence."""
-    last = F.trim(F.coalesce(text, F.lit("")))
-    return (last == "") | ~last.rlike(r"[.!?。！？।؟:…][\"'”’»)\]」*_]*$")
+    last = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+\z", "")
+    return (last == "") | ~last.rlike(r"[.!?。！？।؟:…][\"'”’»)\]」*_]*\z")
 
 
 def quote_verdicts(quotes: DataFrame) -> DataFrame:

@@ -133,7 +133,7 @@ ORACLES = {
         h AS (SELECT doc_id, coalesce(last_value(TRY_CAST(nullif(regexp_extract(line, '^\\[Page (\\d+)\\]', 1), '') AS INTEGER) IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING), 0) AS page, len(regexp_extract_all(line, '{K.ARTEFACT}')) AS n FROM l)
         SELECT doc_id, page, CAST(sum(n) AS BIGINT) AS hits FROM h WHERE n > 0 GROUP BY ALL""",
     "display_items": r"""SELECT * FROM (SELECT doc_id, len(list_distinct(regexp_extract_all(lower(text), '\btab(?:le|\.) ?(\d+)', 1))) AS tables, len(list_distinct(regexp_extract_all(lower(text), '\bfig(?:ure|\.) ?(\d+)', 1))) AS figures FROM documents) WHERE tables + figures > 12""",
-    "truncated_texts": r"""SELECT doc_id FROM documents WHERE trim(coalesce(text, ''), ' ') = '' OR NOT regexp_matches(trim(coalesce(text, ''), ' '), '[.!?。！？।؟:…]["''”’»)\]」*_]*$')""",
+    "truncated_texts": r"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\s+$', '') AS t FROM documents) SELECT doc_id FROM t WHERE t = '' OR NOT regexp_matches(t, '[.!?。！？।؟:…]["''”’»)\]」*_]*$')""",
     "quote_verification": f"""WITH k AS (SELECT quote_id, quote, {_QK.format("quote")} AS q, {_QK.format("coalesce(source, '')")} AS s FROM {_QUOTES}),
         n AS (SELECT *, list_distinct({_NUMS.format("q")}) AS said, {_NUMS.format("s")} AS held, list_filter(list_transform(string_split(regexp_replace(q, '\\s*(?:\\.\\.\\.|…)\\s*', chr(1), 'g'), chr(1)), lambda h: trim(h, ' ')), lambda h: h <> '') AS halves FROM k),
         t AS (SELECT *, len(list_intersect(said, held)) AS there FROM n)
