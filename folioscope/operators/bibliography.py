@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from folioscope.functions.text import doi_key, plain_text
+from folioscope.sources.tables import checkpoint
 
 # Work types of books and chapters, ranks of the others, and words of publishers that name none.
 BOOKS = ("book", "monograph", "edited-book", "reference-book")
@@ -18,6 +20,8 @@ TYPE_RANK = {"journal-article": 3, "proceedings-article": 2, "posted-content": 1
 PUBLISHER_GENERIC = ("and", "co", "company", "corporation", "gmbh", "group", "inc", "international", "limited", "llc", "ltd", "media", "press", "publisher", "publishers", "publishing", "sons", "university", "verlag")
 # Likeness of titles and venues from which they count as one, as probable, and years apart.
 SAME, PROBABLE, YEARS = 0.90, 0.80, 1
+#: Letters of a run by which a name is found in another; parts that the records of a year are divided into.
+RUN, PARTS = 4, 32
 #: A record as a bibliographic service answers it.
 ITEM = StructType([
     StructField("title", ArrayType(StringType())), StructField("subtitle", ArrayType(StringType())), StructField("author", ArrayType(StructType([StructField("given", StringType()), StructField("family", StringType()), StructField("name", StringType())]))),
@@ -35,6 +39,52 @@ def title_likeness(a: Column, b: Column) -> Column:
     return ratio(plain_text(a), plain_text(b))
 
 
+def _common_letters(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of each two rows of codes under 38, 0 being none; by bits, 64 letters of a at once."""
+    n, at = len(a), np.arange(len(a))
+    words = (a.shape[1] + 63) // 64
+    masks = np.zeros((words, n, 38), dtype=np.uint64)
+    for i in range(a.shape[1]):
+        masks[i // 64, at, a[:, i]] |= np.uint64(1 << (i % 64))
+    masks[:, :, 0] = 0
+    rows = np.full((words, n), ~np.uint64(0))
+    for j in range(b.shape[1]):
+        carry = np.zeros(n, dtype=np.uint64)
+        for w in range(words):
+            v = rows[w]
+            u = v & masks[w, at, b[:, j]]
+            s = v + u
+            t = s + carry
+            carry = ((s < v) | (t < s)).astype(np.uint64)
+            rows[w] = t | (v - u)
+    return np.bitwise_count(~rows).sum(0).astype(np.int64)
+
+
+_CODES = np.zeros(256, dtype=np.uint8)
+_CODES[np.frombuffer(b" abcdefghijklmnopqrstuvwxyz0123456789", dtype=np.uint8)] = np.arange(1, 38)
+
+
+def _may_reach(a: list[str], b: list[str], least: float) -> np.ndarray:
+    """False where the ratio of two plain texts is surely less: runs in order are a common subsequence, which has no more letters than both have."""
+    x, y = (_CODES[np.array([t.encode() for t in s], dtype=bytes).reshape(-1, 1).view(np.uint8)] for s in (a, b))
+    n, size = len(a), np.maximum(1, np.array([len(p) + len(q) for p, q in zip(a, b)]))
+    counts = [np.bincount((c + 38 * np.arange(n)[:, None]).ravel(), minlength=38 * n).reshape(n, 38)[:, 1:] for c in (x, y)]
+    may = 2.0 * np.minimum(*counts).sum(1) / size >= least
+    for rows in np.array_split(np.flatnonzero(may), 1 + int(may.sum()) // 2048):
+        if len(rows):
+            longest = [max(1, max(len(s[i]) for i in rows)) for s in (a, b)]
+            may[rows] = 2.0 * _common_letters(x[rows, : longest[0]], y[rows, : longest[1]]) / size[rows] >= least
+    return may
+
+
+@F.pandas_udf(DoubleType())
+def probable_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Ratio of matching runs of two plain texts, null where it is less than probable; most are told by a bound that is never less than the ratio."""
+    may = _may_reach(a.tolist(), b.tolist(), PROBABLE) if len(a) else []
+    found = [SequenceMatcher(None, x, y).ratio() if m else 0.0 for x, y, m in zip(a, b, may)]
+    return pd.Series([r if r >= PROBABLE else None for r in found], dtype="float64")
+
+
 def parsed_items(df: DataFrame, json: str) -> DataFrame:
     """Candidates of df(json): title, subtitle, authors, year, venue, publisher, container_titles, doi, work_type; malformed items are left out."""
     p = F.from_json(F.col(json), ITEM)
@@ -119,28 +169,89 @@ def corroborated(records: DataFrame, id_column: str, likeness=None) -> DataFrame
     return both.select("doi_key", F.when(c("title")[0].isNull() | c("title")[1].isNull(), "single_source").when(agree, "corroborated").otherwise("conflict").alias("status"))
 
 
+def _held_names(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(inner, outer) of plain names of which the second holds the first: found by the rarest of its runs of letters, so that no common given name is a key."""
+    runs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - RUN + 1), lambda i: F.substring(c, i, RUN)))
+    held = outer.filter(F.length("outer") >= RUN).select("outer", F.explode(runs(F.col("outer"))).alias("run"))
+    own = inner.filter(F.length("inner") >= RUN).select("inner", F.explode(runs(F.col("inner"))).alias("run"))
+    rarest = own.join(held.groupBy("run").count(), "run").groupBy("inner").agg(F.min_by("run", F.struct("count", "run")).alias("run"))
+    short = inner.filter(F.length("inner") < RUN)  # few, whatever the data
+    return rarest.join(held, "run").filter(F.col("outer").contains(F.col("inner"))).select("inner", "outer").unionByName(short.join(outer, F.col("outer").contains(F.col("inner"))))
+
+
+def matching_names(supplied: DataFrame, names: DataFrame) -> DataFrame:
+    """(author_key, name) of the plain names that author_matches takes for one, from supplied(author_key) and names(name)."""
+    a, n = supplied.filter("author_key != ''").distinct(), names.filter("name != ''").distinct()
+    surname = F.element_at(F.split("name", " "), -1)
+    by_surname = a.select("author_key", F.explode(F.split("author_key", " ")).alias("k")).join(n.withColumn("k", surname).filter(F.length("k") > 1), "k").select("author_key", "name")
+    in_supplied = _held_names(n.select(F.col("name").alias("inner")), a.select(F.col("author_key").alias("outer"))).select(F.col("outer").alias("author_key"), F.col("inner").alias("name"))
+    in_name = _held_names(a.select(F.col("author_key").alias("inner")), n.select(F.col("name").alias("outer"))).select(F.col("inner").alias("author_key"), F.col("outer").alias("name"))
+    return by_surname.unionByName(in_supplied).unionByName(in_name).distinct()
+
+
+def near_titles(refs: DataFrame, records: DataFrame) -> DataFrame:
+    """(reference_id, candidate_id, likeness) of all pairs whose titles are probable at least and whose author and year agree as far as they are known.
+
+    refs has reference_id, title_key, author and year, records candidate_id, title_key, c_authors
+    and c_year. Keys are the author's names with the year; of references without an author,
+    the year with a part of the records. A title needs no key, so no wording is missed.
+    """
+    year, c_year = F.col("year").cast("int"), F.col("c_year").cast("int")
+    # an unknown year of a record is -1, and a reference that has none meets every record under -2
+    years = F.when(year.isNull(), F.array(F.lit(-2))).otherwise(F.array(*[year + i for i in range(-YEARS, YEARS + 1)], F.lit(-1)))
+    r = refs.filter("title_key is not null").select("reference_id", "title_key", plain_text(F.col("author")).alias("author_key"), F.explode(years).alias("y"))
+    c = records.filter("title_key is not null").select("candidate_id", F.col("title_key").alias("c_key"), "c_authors", F.explode(F.array(F.coalesce(c_year, F.lit(-1)), F.lit(-2))).alias("y"))
+    n = max(int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * refs.sparkSession.sparkContext.defaultParallelism)
+
+    named = records.filter("title_key is not null").select(F.explode("c_authors").alias("name")).distinct().select(plain_text(F.col("name")).alias("name"))
+    names = matching_names(refs.select(plain_text(F.col("author")).alias("author_key")).filter("author_key is not null"), named)
+    plain_names = F.array_distinct(F.transform("c_authors", lambda x: plain_text(x)))
+    left = r.filter("author_key is not null").join(names, "author_key").select("reference_id", "title_key", "name", "y").repartition(n, "name", "y")
+    right = c.select("candidate_id", "c_key", "y", F.explode(plain_names).alias("name")).repartition(n, "name", "y")
+    by_name = left.join(right, ["name", "y"])
+
+    parts = F.sequence(F.lit(0), F.lit(PARTS - 1))
+    left = r.filter("author_key is null").select("reference_id", "title_key", "y", F.explode(parts).alias("part")).repartition(n, "part", "y")
+    right = c.select("candidate_id", "c_key", "y", F.pmod(F.xxhash64("candidate_id"), F.lit(PARTS)).cast("int").alias("part")).repartition(n, "part", "y")
+    by_year = left.join(right, ["part", "y"])
+
+    x, y = F.length("title_key"), F.length("c_key")
+    pairs = [p.filter(2.0 * F.least(x, y) / (x + y) >= PROBABLE).select("reference_id", "candidate_id", probable_ratio("title_key", "c_key").alias("likeness")).filter("likeness is not null") for p in (by_name, by_year)]
+    return pairs[0].unionByName(pairs[1]).distinct()
+
+
 def verified_references(refs: DataFrame, records: DataFrame) -> DataFrame:
     """(reference_id, status, candidate_id): verified, probable, metadata_conflict or not_verified.
 
     By DOI where the reference has one that a record has: titles less than probable, or an
-    author, venue or year that disagrees, are a conflict. Else by a record of the same plain
-    title: author, year and venue must agree as far as they are known. Best match first.
+    author, venue or year that disagrees, are a conflict. Else by title: the same plain title
+    first, and for what that leaves unverified every record whose title is probable at least;
+    author, year and venue must agree as far as they are known. Best match first.
     """
-    r = refs.withColumn("doi_key", doi_key(F.col("doi"))).withColumn("title_key", plain_text(F.col("title")))
-    c = records.select("candidate_id", doi_key(F.col("doi")).alias("doi_key"), plain_text(F.col("title")).alias("title_key"), F.col("title").alias("c_title"), F.col("authors").alias("c_authors"), F.col("year").alias("c_year"), F.col("venue").alias("c_venue"))
-    by_doi = r.filter("doi_key is not null").join(c.drop("title_key"), "doi_key").withColumn("path", F.lit("doi"))
+    r = checkpoint(refs.withColumn("doi_key", doi_key(F.col("doi"))).withColumn("title_key", plain_text(F.col("title"))))
+    c = checkpoint(records.select("candidate_id", doi_key(F.col("doi")).alias("doi_key"), plain_text(F.col("title")).alias("title_key"), F.col("title").alias("c_title"), F.col("authors").alias("c_authors"), F.col("year").alias("c_year"), F.col("venue").alias("c_venue")))
+    by_doi = r.filter("doi_key is not null").join(c.drop("title_key"), "doi_key").withColumn("path", F.lit("doi")).withColumn("likeness", title_likeness(F.col("title"), F.col("c_title")))
     rest = r.join(by_doi.select("reference_id").distinct(), "reference_id", "left_anti")
-    by_title = rest.join(c.drop("doi_key"), "title_key").withColumn("path", F.lit("title"))
-    columns = ["reference_id", "path", "candidate_id", "title", "author", "year", "venue", "c_title", "c_authors", "c_year", "c_venue"]
-    rows = by_doi.select(*columns).unionByName(by_title.select(*columns)).withColumn("likeness", title_likeness(F.col("title"), F.col("c_title"))).withColumn("venue_likeness", title_likeness(F.col("venue"), F.col("c_venue")))
+    by_title = rest.join(c.drop("doi_key"), "title_key").withColumn("path", F.lit("title")).withColumn("likeness", F.lit(1.0))
+    columns = ["reference_id", "path", "likeness", "candidate_id", "author", "year", "venue", "c_authors", "c_year", "c_venue"]
+    first = checkpoint(_judged(by_doi.select(*columns).unionByName(by_title.select(*columns))))
+    # no title is more alike than the same one, so what it verifies is settled
+    open_ = rest.join(first.filter("status = 'verified'").select("reference_id").distinct(), "reference_id", "left_anti")
+    near = near_titles(open_, c.drop("doi_key")).join(r, "reference_id").join(c.drop("doi_key", "title_key"), "candidate_id").withColumn("path", F.lit("title"))
+    judged = first.unionByName(_judged(near.select(*columns))).filter("status != 'not_verified'")
+    order = F.when(F.col("status") == "verified", 3).when(F.col("status") == "probable", 2).otherwise(1)
+    best = judged.withColumn("k", F.struct(order.alias("a"), F.col("likeness").alias("b"), (-F.col("candidate_id")).alias("c"))).groupBy("reference_id").agg(F.max_by("status", "k").alias("status"), F.max_by("candidate_id", "k").alias("candidate_id"))
+    return refs.select("reference_id").join(best, "reference_id", "left").select("reference_id", F.coalesce("status", F.lit("not_verified")).alias("status"), "candidate_id")
+
+
+def _judged(rows: DataFrame) -> DataFrame:
+    """(reference_id, candidate_id, likeness, status) of references beside records."""
     author = F.col("author").isNull() | author_matches(F.col("author"), F.col("c_authors"))
     venue = F.col("venue").isNull() | F.col("c_venue").isNull() | (F.col("venue_likeness") >= SAME) | venue_words_match(F.col("venue"), F.col("c_venue"))
     year = F.coalesce(F.abs(F.col("year") - F.col("c_year")) <= YEARS, F.lit(True))
     agree = author & venue & year
     status = (
         F.when(F.col("path") == "doi", F.when(F.col("likeness") < PROBABLE, "metadata_conflict").when(~agree, "metadata_conflict").when(F.col("likeness") < SAME, "probable").otherwise("verified"))
-        .when((F.col("likeness") >= SAME) & agree, "verified").when(F.col("likeness") >= PROBABLE, "probable").otherwise("not_verified")
+        .when((F.col("likeness") >= SAME) & agree, "verified").when((F.col("likeness") >= PROBABLE) & agree, "probable").otherwise("not_verified")
     )
-    order = F.when(F.col("status") == "verified", 3).when(F.col("status") == "probable", 2).when(F.col("status") == "metadata_conflict", 1).otherwise(0)
-    best = rows.withColumn("status", status).withColumn("k", F.struct(order.alias("a"), F.col("likeness").alias("b"), (-F.col("candidate_id")).alias("c"))).groupBy("reference_id").agg(F.max_by("status", "k").alias("status"), F.max_by("candidate_id", "k").alias("candidate_id"))
-    return refs.select("reference_id").join(best, "reference_id", "left").select("reference_id", F.coalesce("status", F.lit("not_verified")).alias("status"), "candidate_id")
+    return rows.withColumn("venue_likeness", title_likeness(F.col("venue"), F.col("c_venue"))).select("reference_id", "candidate_id", "likeness", status.alias("status"))

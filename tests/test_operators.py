@@ -176,6 +176,35 @@ def test_verification(spark):
     assert rows(B.verified_references(refs, records)) == [(1, "verified", 9), (2, "metadata_conflict", 9), (3, "verified", 9), (4, "not_verified", None)]
 
 
+def test_verification_of_titles_that_are_not_equal(spark):
+    title = "Reporting stress reactivity after air quality exposure"
+    refs = [
+        (1, "Reporting stress rectivity aftter air quality exposure", "Hale, J.", 2001, None, None),  # 0.98
+        (2, "Reporting stress reactivity after noise exposure", None, 2002, None, None),  # 0.84, no author
+        (3, "Reporting stress reactivity after air quality exposures", "Hale", None, None, None),  # no year
+        (4, "Stress reactivity and exposure", "Hale, J.", 2001, None, None),  # under 0.80
+        (5, "Reporting stress reactivity after air qualty exposure", "Orne, K.", 2001, None, None),  # another author
+        (6, "Reporting stress reactivity after air qualty exposure", None, 2003, None, None),  # two years apart
+        (7, title, "Orne, K.", 2001, None, None),
+        (8, "Reporting stress reactivity after air qualty exposure", "Hale Jane Ann", 2001, None, None),  # holds the record's 'Hale, J.'
+    ]
+    df = spark.createDataFrame(refs, "reference_id long, title string, author string, year int, venue string, doi string")
+    records = spark.createDataFrame([(9, title, ["Lee Fox", "Hale, J."], 2001, "Sleep", None), (8, "Other work", ["Hale, J."], None, None, None)], "candidate_id long, title string, authors array<string>, year int, venue string, doi string")
+    assert rows(B.verified_references(df, records)) == [(1, "verified", 9), (2, "probable", 9), (3, "verified", 9), (4, "not_verified", None), (5, "not_verified", None), (6, "not_verified", None), (7, "not_verified", None), (8, "verified", 9)]
+
+
+def test_bound_of_the_title_ratio_loses_nothing():
+    from difflib import SequenceMatcher
+    from random import Random
+
+    rng = Random(5)
+    a = ["".join(rng.choices("abc de1", k=rng.randint(0, 150))) for _ in range(400)]
+    b = ["".join(c for c in x if rng.random() > 0.15) + "".join(rng.choices("abc", k=rng.randint(0, 20))) for x in a]
+    may = B._may_reach(a, b, B.PROBABLE)
+    reached = [SequenceMatcher(None, x, y).ratio() >= B.PROBABLE for x, y in zip(a, b)]
+    assert any(reached) and not all(may) and all(m for m, r in zip(may, reached) if r)
+
+
 def test_items(spark):
     df = spark.createDataFrame([(1, "# A\n- one\n  more\n\nloose\n2. two\n# B\ntail"), (2, None)], "id int, text string")
     assert rows(P.list_items(df, "id", "text").select("id", "item_no", "heading", "lines", "item")) == [(1, 1, "A", 2, "one more"), (1, 2, "A", 1, "two")]
