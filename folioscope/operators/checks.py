@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import near_words, numbers, quote_key, to_number
-from folioscope.operators.segments import filled_forward, line_rows, sentence_rows
+from folioscope.operators.claims import longest_run
+from folioscope.operators.segments import adjacent_pairs, filled_forward, line_rows, sentence_rows
 
 _N = r"[-+]?\d+(?:\.\d+)?"
 #: An estimate with its interval: in brackets, or after the words.
 ESTIMATES = (rf"({_N}) \(({_N}) to ({_N})\)", rf"was ({_N}) with an interval from ({_N}) to ({_N})", rf"was ({_N}) \(95 ?% CI:? ({_N})(?:,| to) ({_N})\)")
+#: Words that are no evidence of a shared source.
+RUN_STOP = tuple("a an the of in on for to and or as at by with was were is are be been this that these those it its from which than then not no but if each any we our their there they he she his her into also".split())
 PERCENT = r"\(\s*(\d+(?:\.\d+)?)\s*%\s*\)"
 TOLERANCE, MOST_SHARE = 8.0, 90.0
 ARTEFACT = r"(?i)error! (?:reference source not found|bookmark not defined)|\?\?\? ?(?:ref|cite)|\\ref\{|\\cite\{|\[citation\]|\btodo\b|\btbd\b|\blorem ipsum\b"
@@ -124,3 +127,29 @@ def nearest_sentences(quotes: DataFrame, sentences: DataFrame, group: str, least
     share = q.join(s, [group, "word"]).groupBy("quote_id", "size", "sentence_no", "chars").agg(F.count("*").alias("both")).withColumn("share", F.col("both") / F.col("size")).filter(F.col("share") >= least_share)
     order = Window.partitionBy("quote_id").orderBy(F.desc("share"), "chars", "sentence_no")
     return share.withColumn("r", F.row_number().over(order)).filter("r = 1").select("quote_id", "sentence_no", F.round("share", 6).alias("share"))
+
+
+def run_words(text: Column) -> Column:
+    """Content words in order, repeats kept, a plural s taken off: the words of which runs are made."""
+    words = F.transform(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.when((F.length(w) > 3) & w.endswith("s") & ~w.endswith("ss"), F.regexp_replace(w, "s$", "")).otherwise(w))
+    return F.filter(words, lambda w: ~w.isin(*RUN_STOP) & (F.length(w) > 1))
+
+
+def nearest_candidates(quotes: DataFrame, sentences: DataFrame, group: str, least_words: int = 5, least_share: float = 0.7, least_run: int = 3, shortlist: int = 12) -> DataFrame:
+    """(quote_id, sentence_no, width, share, run): the sentence, or the sentence with the next one (width 2), of the same group that a quote is nearest to.
+
+    As nearest_sentences, over sentences and adjacent pairs: of the `shortlist` that hold most
+    of a quote's words, the shorter first, those with `least_run` of its words in a row, and of
+    these the best by (share, run).
+    """
+    guard = r"(?i)\[[^\]]*(?:PREVIEW CUT SHORT|DO NOT QUOTE)[^\]]*\]"
+    q = quotes.select("quote_id", group, run_words(F.regexp_replace("quote", guard, " ")).alias("q_words")).filter(F.size("q_words") >= least_words)
+    c = adjacent_pairs(sentences, group).select(group, "sentence_no", "width", F.length("candidate").alias("chars"), run_words(F.col("candidate")).alias("c_words"))
+    words = q.select("quote_id", group, F.size(F.array_distinct("q_words")).alias("size"), F.explode(F.array_distinct("q_words")).alias("word"))
+    held = words.join(c.select(group, "sentence_no", "width", "chars", F.explode(F.array_distinct("c_words")).alias("word")), [group, "word"]).groupBy("quote_id", group, "size", "sentence_no", "width", "chars").agg(F.count("*").alias("both"))
+    near = held.withColumn("share", F.col("both") / F.col("size")).filter(F.col("share") >= least_share)
+    order = Window.partitionBy("quote_id").orderBy(F.desc("share"), "chars", "sentence_no", "width")
+    near = near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= shortlist)
+    runs = near.join(q, ["quote_id", group]).join(c.select(group, "sentence_no", "width", "c_words"), [group, "sentence_no", "width"]).withColumn("run", longest_run(F.col("q_words"), F.col("c_words"))).filter(F.col("run") >= least_run)
+    best = runs.groupBy("quote_id").agg(F.max_by(F.struct("sentence_no", "width", "share", "run"), F.struct("share", "run", -F.col("r"))).alias("b"))
+    return best.select("quote_id", "b.sentence_no", "b.width", F.round("b.share", 6).alias("share"), "b.run")

@@ -79,6 +79,12 @@ def nearest_sentences(spark: SparkSession, d: str) -> DataFrame:
     return K.nearest_sentences(_quotes(spark, d).select("quote_id", "draft_id", "quote"), sentence_rows(drafts, "answer_draft"), "draft_id").withColumn("sentence_no", F.col("sentence_no").cast("long"))
 
 
+def nearest_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """For each source sentence the nearest sentence or adjacent pair of its draft that has a run of its words."""
+    drafts = table(spark, d, "academic_drafts").select("draft_id", "answer_draft")
+    return K.nearest_candidates(_quotes(spark, d).select("quote_id", "draft_id", "quote"), sentence_rows(drafts, "answer_draft"), "draft_id")
+
+
 def stated_span_states(spark: SparkSession, d: str) -> DataFrame:
     """Each claim's offsets checked against its draft: verified, drifted, out of bounds or missing."""
     rows = table(spark, d, "claim_contexts").join(table(spark, d, "academic_drafts").select("draft_id", "answer_draft"), "draft_id", "left")
@@ -89,7 +95,7 @@ def stated_span_states(spark: SparkSession, d: str) -> DataFrame:
 
 ABSENCES = {"confidence_intervals": r"[^.]*\bintervals? (?:is|are|was|were) not reported", "p_values": r"[^.]*\bp values? (?:is|are|was|were) not reported", "missing_data": r"[^.]*\bit is not stated whether the (?:missing-data rate|attrition figure)[^.]*"}
 
-QUERIES = {f.__name__: f for f in (design_classes, expected_elements, bayesian_gate, manifest_flags, contradicted_absences, estimates_outside, percentage_sums, artefact_pages, display_items, truncated_texts, quote_verification, nearest_sentences, stated_span_states)}
+QUERIES = {f.__name__: f for f in (design_classes, expected_elements, bayesian_gate, manifest_flags, contradicted_absences, estimates_outside, percentage_sums, artefact_pages, display_items, truncated_texts, quote_verification, nearest_sentences, nearest_candidates, stated_span_states)}
 
 
 def _n(text: str, patterns) -> str:

@@ -299,3 +299,9 @@ def test_empty_tables(spark):
     assert L.expected_elements(df, "text").count() == 0
     assert K.percentage_sums(df, "id", "text").count() == 0
     assert P.grouped_findings(df, "id", "text").count() == 0
+
+
+def test_nearest_candidates_span_sentences_and_need_a_run(spark):
+    quotes = spark.createDataFrame([(1, 1, "the slope of sleep duration fell after training ended in nurses"), (2, 2, "training reduced muscle soreness among ferry crews"), (3, 3, "training reduced muscle soreness among ferry crews")], "quote_id int, d int, quote string")
+    sentences = spark.createDataFrame([(1, 1, "The slope of sleep duration fell."), (1, 2, "After training ended in nurses, it rose."), (2, 1, "Crews: soreness, ferry, reduced among, muscle, training."), (3, 1, "Among crews ferry soreness muscle reduced training."), (3, 2, "Here training reduced muscle soreness among many ferry crews of the coast.")], "d int, sentence_no int, sentence string")
+    assert [tuple(r)[:3] + (r.run,) for r in K.nearest_candidates(quotes, sentences, "d").orderBy("quote_id").collect()] == [(1, 1, 2, 8), (3, 2, 1, 5)]
