@@ -163,7 +163,7 @@ def outliers_in_rows(df: DataFrame, id_column: str, block: str, least_cells: int
     pair = rf"({n})(?:\s*,\s*|\s*;\s*|\s+to\s+)({n})"
     rows = line_rows(gated, id_column, block).filter((F.size(F.split("line", r"\||\t")) >= least_cells) & F.col("line").rlike(pair))
     rows = rows.withColumn("lower", to_number(F.regexp_extract("line", pair, 1))).withColumn("upper", to_number(F.regexp_extract("line", pair, 2)))
-    estimate = F.transform(F.filter(F.transform(F.slice(F.split("line", r"\||\t"), 2, 50), lambda c: F.trim(c)), lambda c: c.rlike(rf"^{n}$")), to_number)
+    estimate = F.transform(F.filter(F.transform(F.slice(F.split("line", r"\||\t"), F.lit(2), F.size(F.split("line", r"\||\t"))), lambda c: F.trim(c)), lambda c: c.rlike(rf"^{n}$")), to_number)
     rows = rows.withColumn("estimate", F.get(estimate, 0)).filter("lower < upper and estimate is not null")
     far = F.abs(F.col("estimate") - (F.col("lower") + F.col("upper")) / 2) >= spans * (F.col("upper") - F.col("lower"))
     return rows.filter(far).select(id_column, "line_no", *[F.round(c, 12).alias(c) for c in ("estimate", "lower", "upper")]).dropDuplicates([id_column, "estimate", "lower", "upper"])

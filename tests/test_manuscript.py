@@ -154,3 +154,9 @@ def test_anchored_patterns_match_as_plain_ones(spark):
     got = df.select(*[(matches(F.col("t"), p) == F.col("t").rlike(p)).alias(f"c{i}") for i, p in enumerate(patterns)]).collect()
     assert all(all(r) for r in got)
     assert anchor(r"\bcase (studies|reports?)\b") == "case "
+
+
+def test_outliers_in_rows_read_wide_rows(spark):
+    line = "x" + " | a" * 60 + " | 9.0 | 1.0 to 2.0"
+    got = M.outliers_in_rows(spark.createDataFrame([(1, "Estimate with 95% CI\n" + line)], "id int, block string"), "id", "block").collect()
+    assert [(r.id, r.estimate, r.lower, r.upper) for r in got] == [(1, 9.0, 1.0, 2.0)]
