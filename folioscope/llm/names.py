@@ -134,6 +134,14 @@ def _one_target(edges: DataFrame) -> DataFrame:
     return edges.distinct().groupBy("source").agg(F.min("target").alias("target"), F.count("*").alias("k")).filter("k = 1").select("source", "target")
 
 
+def _with_ph(df: DataFrame, word: str) -> DataFrame:
+    """(word, plain): each folded word as it is, and with each of its f's written ph, so that a slip of one letter in ph is one edit."""
+    f = F.filter(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(F.col(word), i, F.lit(1)) == "f")
+    written = F.transform(f, lambda i: F.concat(F.substring(F.col(word), F.lit(1), i - 1), F.lit("ph"), F.substring(F.col(word), i + 1, F.length(word))))
+    return df.filter(F.length(word) > 0).select(F.explode(F.concat(F.array(F.col(word)), written)).alias(word), F.col(word).alias("plain"))
+
+
+
 def link_names(spellings: DataFrame) -> DataFrame:
     """(name, entity) for each spelling of df(name, n): spellings of one person or group have the same entity.
 
@@ -148,7 +156,10 @@ def link_names(spellings: DataFrame) -> DataFrame:
     bare = rows.filter("given = ''")
     words = keys.select(F.col("key").alias("word")).unionByName(full.select(F.concat_ws(" ", "given", "surname").alias("word"))).unionByName(full.select(F.concat_ws(" ", "surname", "given").alias("word")))
     permuted = lambda c: F.concat_ws(" ", F.array_sort(F.split(c, " ")))
-    near = trie_join(words.distinct(), "word", least_length=9).select(permuted(F.col("left_word")).alias("src"), permuted(F.col("right_word")).alias("dst")).filter("src != dst").distinct()
+    words = _with_ph(words.distinct(), "word")
+    met = trie_join(words.select("word").distinct(), "word", least_length=9)
+    left, right = words.toDF("left_word", "l"), words.toDF("right_word", "r")
+    near = met.join(left, "left_word").join(right, "right_word").select(permuted(F.col("l")).alias("src"), permuted(F.col("r")).alias("dst")).filter("src != dst").distinct()
     entity = connected_components(keys.select(F.col("key").alias("node")), near).withColumnRenamed("node", "key")
     named = checkpoint(full.select("key", "surname", "given", "kind", "initials").distinct().join(entity, "key"))
     # 2: a short form of a given name, under the same surname
@@ -172,7 +183,9 @@ def link_names(spellings: DataFrame) -> DataFrame:
     groups = resolved.filter("kind = 'group'").select("surname", F.col("initials").alias("acronym"), "entity").distinct()
     acronyms = short.join(groups, (short.surname == groups.surname) & (F.array_join(F.array_sort(F.split(short.initials, "")), "") == groups.acronym)).select(short.surname, short.initials, "entity").distinct()
     exact = short.join(letter, ["surname", "letter"]).withColumn("edits", F.lit(0))
-    apart = trie_join(short.select("surname").unionByName(letter.select("surname")), "surname", least_length=6)
+    surnames = _with_ph(short.select("surname").unionByName(letter.select("surname")).distinct(), "surname")
+    met = trie_join(surnames.select("surname").distinct(), "surname", least_length=6)
+    apart = met.join(surnames.toDF("left_word", "l"), "left_word").join(surnames.toDF("right_word", "r"), "right_word").filter("l != r").select(F.col("l").alias("left_word"), F.col("r").alias("right_word")).distinct()
     either = apart.unionAll(apart.select("right_word", "left_word")).toDF("surname", "near_surname")
     typed = short.join(either, "surname").join(letter.withColumnRenamed("surname", "near_surname"), ["near_surname", "letter"]).select("surname", "letter", "initials", "entity", F.lit(1).alias("edits"))
     candidates = exact.select("surname", "letter", "initials", "entity", "edits").unionByName(typed).groupBy("surname", "initials", "entity").agg(F.min("edits").alias("edits"))

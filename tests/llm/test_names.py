@@ -63,3 +63,11 @@ def test_links(spark):
     pairs = name_pairs(spark.createDataFrame(list(got.items()), "name string, entity string"))
     assert pairs.count() == 10 * 9 // 2 + 1 + 4 * 3 // 2 and pairs.filter("name_a >= name_b").count() == 0
     assert link_names(spark.createDataFrame([], "name string, n long")).count() == 0
+
+
+def test_a_slip_in_ph_is_one_edit(spark):
+    from folioscope.llm.names import link_names
+
+    names = ["Josephine Mivimerees", "Josepsine Mivimerees", "Josefine Mivimerees", "Christopher Laronde", "Christoper Laronde", "Miriam Laronde"]
+    got = dict(map(tuple, link_names(spark.createDataFrame([(n, 1) for n in names], "name string, n long")).select("name", "entity").collect()))
+    assert len({got[n] for n in names[:3]}) == 1 and got[names[3]] == got[names[4]] != got[names[5]]
