@@ -10,6 +10,7 @@ sharding is at most one container in `CONTAINERS`.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 #: Containers that a shard fills, about; and items that it holds at most, about.
 CONTAINERS, ITEMS = 400, 20_000
 
-OUT = "pack_id int, shard int, container int, doc_id long, piece_no int, n_tokens int"
+OUT = "pack_id int, shard int, container long, doc_id long, piece_no int, n_tokens int"
 
 
 def fullest(lengths: list[int], counts: dict[int, int], room: int) -> list[int]:
@@ -71,12 +72,17 @@ def fill(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def _fill_shard(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["doc_id", "piece_no"], kind="stable").reset_index(drop=True)
-    number = [0] * len(rows)
-    for k, places in enumerate(fill(rows["n_tokens"].tolist(), int(rows["capacity_tokens"].iloc[0])), 1):
-        for i in places:
-            number[i] = k
-    return rows.assign(container=pd.Series(number, dtype="int32"))[["pack_id", "shard", "container", "doc_id", "piece_no", "n_tokens"]]
+    """Containers of one shard, numbered from 1: first those that hold several items, then one for each full piece of an item that was cut."""
+    rows = rows.sort_values("doc_id", kind="stable").reset_index(drop=True)
+    capacity = int(rows["capacity_tokens"].iloc[0])
+    number = np.zeros(len(rows), dtype=np.int64)
+    filled = fill(rows["n_tokens"].tolist(), capacity)
+    for k, places in enumerate(filled, 1):
+        number[places] = k
+    rest = rows.assign(container=number, piece_no=rows["full_pieces"] + 1)
+    cut = rows.loc[rows.index.repeat(rows["full_pieces"])]
+    whole = cut.assign(container=len(filled) + 1 + np.arange(len(cut)), piece_no=cut.groupby(level=0).cumcount() + 1, n_tokens=capacity)
+    return pd.concat([rest, whole])[["pack_id", "shard", "container", "doc_id", "piece_no", "n_tokens"]]
 
 
 def pack(sizes: DataFrame, specs: DataFrame) -> DataFrame:
@@ -85,8 +91,9 @@ def pack(sizes: DataFrame, specs: DataFrame) -> DataFrame:
     sizes is df(doc_id, source, n_tokens), specs df(pack_id, capacity_tokens, scope_source)
     with few rows; a null scope means all documents. An item larger than the capacity is
     cut into pieces of the capacity and a rest, numbered from 1; others are piece 1. A
-    container is named by (pack_id, shard, container); full pieces of cut items have
-    negative container numbers. Documents of a null or unknown source are in no named scope.
+    container is named by (pack_id, shard, container) and never holds more than its
+    capacity; a full piece of a cut item has one of its own. Documents of a null or unknown
+    source are in no named scope. A doc_id that comes twice is two items.
     """
     few = specs.filter("capacity_tokens > 0").select("pack_id", F.col("capacity_tokens").cast("int").alias("capacity_tokens"), "scope_source")
     # each document asks for the specs of its source and for those of all sources, so that the join is by an equal key
@@ -98,7 +105,5 @@ def pack(sizes: DataFrame, specs: DataFrame) -> DataFrame:
     full = F.when(F.col("n_tokens") > capacity, F.floor((F.col("n_tokens") - 1) / capacity)).otherwise(F.lit(0)).cast("int")
     # one row per spec: no more rows than specs has
     placed = scoped.join(F.broadcast(shards), "pack_id").withColumn("full", full).withColumn("shard", F.pmod(F.xxhash64("doc_id", "pack_id"), F.col("shards")).cast("int"))
-    cut = placed.filter("full > 0").select("pack_id", "shard", (-F.pmod(F.col("doc_id"), F.lit(2147483647))).cast("int").alias("container"), "doc_id", F.explode(F.sequence(F.lit(1), F.col("full"))).alias("piece_no"), capacity.alias("n_tokens"))
-    rest = placed.select("pack_id", "shard", "doc_id", (F.col("full") + 1).alias("piece_no"), (F.col("n_tokens") - F.col("full") * capacity).cast("int").alias("n_tokens"), "capacity_tokens")
-    filled = rest.groupBy("pack_id", "shard").applyInPandas(_fill_shard, OUT)
-    return filled.unionByName(cut)
+    rest = placed.select("pack_id", "shard", "doc_id", F.col("full").alias("full_pieces"), (F.col("n_tokens") - F.col("full") * capacity).cast("int").alias("n_tokens"), "capacity_tokens")
+    return rest.groupBy("pack_id", "shard").applyInPandas(_fill_shard, OUT)

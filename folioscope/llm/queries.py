@@ -69,12 +69,22 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_room(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containers, tokens and the share of room left over for each spec."""
-    filled = p6_containers(spark, sf_dir).groupBy("pack_id", "shard", "container", F.when(F.col("container") < 0, F.col("piece_no")).alias("piece")).agg(F.sum("n_tokens").alias("tokens"))
+    filled = p6_containers(spark, sf_dir).groupBy("pack_id", "shard", "container").agg(F.sum("n_tokens").alias("tokens"))
     per = filled.groupBy("pack_id").agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"))
     specs = table(spark, sf_dir, "pack_specs").select("pack_id", "capacity_tokens")
     return per.join(F.broadcast(specs), "pack_id").withColumn("room_share", F.round(1 - F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6))
 
 
+def p6_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each spec: documents placed, containers beyond their capacity, pieces of documents that need no cut, and documents whose pieces aren't numbered without a gap."""
+    specs = table(spark, sf_dir, "pack_specs").select("pack_id", "capacity_tokens")
+    placed = checkpoint(p6_containers(spark, sf_dir))
+    over = placed.groupBy("pack_id", "shard", "container").agg(F.sum("n_tokens").alias("tokens")).join(F.broadcast(specs), "pack_id").groupBy("pack_id").agg(F.count_if(F.col("tokens") > F.col("capacity_tokens")).alias("over_capacity"))
+    whole = placed.groupBy("pack_id", "doc_id").agg(F.count("*").alias("pieces"), F.max("piece_no").alias("last"), F.sum("n_tokens").alias("tokens")).join(F.broadcast(specs), "pack_id")
+    per = whole.groupBy("pack_id").agg(F.count("*").alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity_tokens"))).alias("needless_cuts"), F.count_if(F.col("pieces") != F.col("last")).alias("gaps"))
+    return per.join(over, "pack_id")
+
+
 def p7_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every draw of every mix with its training position."""
     own = sizes(spark, sf_dir)
@@ -98,8 +108,9 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).filter(~F.col("is_prose")).select("doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_entities": p3_entities, "p4_found": p4_found, "p4_linked": p4_linked, "p5_found": p5_found, "p6_containers": p6_containers, "p6_room": p6_room, "p7_mixed": p7_mixed, "p7_shares": p7_shares, "p8_found": p8_found, "p8_statistics": p8_statistics}
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_entities": p3_entities, "p4_found": p4_found, "p4_linked": p4_linked, "p5_found": p5_found, "p6_containers": p6_containers, "p6_room": p6_room, "p6_checked": p6_checked, "p7_mixed": p7_mixed, "p7_shares": p7_shares, "p8_found": p8_found, "p8_statistics": p8_statistics}
 
+SOURCE = r"regexp_replace(regexp_replace(lower(trim(source)), '[\s_-]+', '_', 'g'), '([^si])s$', '\1')"
 TRIM = r"regexp_replace({}, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')"
 ORACLES = {
     "p2_found": f"""
@@ -108,4 +119,9 @@ ORACLES = {
           UNION ALL SELECT passage_id, 'heading', heading FROM note_passages) AS v
         JOIN split_limits USING (field_name)
         WHERE length({TRIM.format("value")}) > max_chars""",
+    # what must hold of any filling, whatever the tokenizer
+    "p6_checked": f"""
+        SELECT pack_id, count(*) AS documents, 0 AS over_capacity, 0 AS needless_cuts, 0 AS gaps
+        FROM pack_specs JOIN documents ON scope_source IS NULL OR {SOURCE} = scope_source
+        WHERE capacity_tokens > 0 GROUP BY pack_id""",
 }

@@ -37,11 +37,20 @@ def test_pack(spark):
     specs = spark.createDataFrame([(1, 10, None), (2, 10, "a"), (3, 10, "absent"), (4, 0, None)], "pack_id int, capacity_tokens int, scope_source string")
     got = pack(sizes, specs)
     assert sorted((r.pack_id, r.doc_id, r.piece_no, r.n_tokens) for r in got.collect()) == [(1, 1, 1, 10), (1, 1, 2, 10), (1, 1, 3, 5), (1, 2, 1, 10), (1, 3, 1, 4), (1, 4, 1, 6), (1, 5, 1, 0), (2, 1, 1, 10), (2, 1, 2, 10), (2, 1, 3, 5), (2, 2, 1, 10), (2, 5, 1, 0)]
-    over = got.filter("container > 0").groupBy("pack_id", "shard", "container").agg(F.sum("n_tokens").alias("t")).filter("t > 10")
-    assert over.count() == 0
+    over = got.groupBy("pack_id", "shard", "container").agg(F.sum("n_tokens").alias("t")).filter("t > 10")
+    assert over.count() == 0 and got.filter("container < 1").count() == 0
     assert pack(sizes.limit(0), specs).count() == 0 and pack(sizes, specs.limit(0)).count() == 0
 
 
+def test_pieces_of_ids_that_look_alike(spark):
+    m = 2147483647
+    sizes = spark.createDataFrame([(i, "a", 35) for i in (0, m, 2 * m, 5, 5 + m)], SIZES)
+    got = pack(sizes, spark.createDataFrame([(1, 10, None)], "pack_id int, capacity_tokens int, scope_source string"))
+    filled = got.groupBy("pack_id", "shard", "container").agg(F.sum("n_tokens").alias("t"))
+    assert filled.filter("t > 10").count() == 0 and filled.agg(F.sum("t")).first()[0] == 175
+    assert filled.count() == 18 and got.groupBy("doc_id").count().filter("count != 4").count() == 0
+
+
 def test_mix(spark):
     sizes = spark.createDataFrame([(i, "big" if i % 10 else "small", 1 + i % 50) for i in range(5000)] + [(9999, None, 5), (10000, "big", 0)], SIZES)
     targets = spark.createDataFrame([(1, "big", 1.0, 1, 0.5), (1, "small", 1.0, 3, 0.5), (2, "absent", 1.0, 2, 0.5), (2, "big", 3.0, None, 0.2), (3, "big", 0.0, 1, 0.5)], "mix_id int, source string, target_weight double, max_repeats int, budget_share double")
