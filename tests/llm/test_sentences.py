@@ -1,6 +1,6 @@
 import pytest
 
-from folioscope.llm.sentences import corpus_counts, corpus_fallback, sentence_spans, sentence_units
+from folioscope.llm.sentences import corpus_counts, corpus_evidence, sentence_spans, sentence_units
 
 COMMON = frozenset("the it we this an item".split())
 CASES = [
@@ -36,6 +36,30 @@ def test_document_decides_about_its_own_abbreviations():
     assert len(sentence_spans("The wks. were long, and five wks. passed. It took two wks. Hale left.", frozenset(), COMMON)) == 2
 
 
+def test_document_overrules_the_lists():
+    # a fruit, as the document uses the word without a stop; a figure, as it doesn't
+    assert len(sentence_spans("They ate a fig after lunch. He took the last fig. (The rest was gone.)")) == 3
+    assert len(sentence_spans("It was shown in the last fig. (The rest was gone.)")) == 1
+    # French: a verb; the list has it as short for estimated
+    assert len(sentence_spans("Il est tard. On sait où il est. Le reste suit.")) == 3
+    # before a figure only the same use counts
+    assert len(sentence_spans("There was no effect in item no. 5 of it.")) == 1
+
+
+def test_corpus_decides_where_the_document_does_not():
+    text = "It took two wks. Hale left early."
+    assert len(sentence_spans(text)) == 2 and len(sentence_spans(text, frozenset({"wks"}))) == 1
+    assert len(sentence_spans(text, frozenset({"wks"}), frozenset({"hale"}))) == 2
+    listed = "He came resp. The rest left."
+    assert len(sentence_spans(listed)) == 1 and len(sentence_spans(listed, words=frozenset({"resp"}))) == 2
+
+
+def test_tokens_of_any_length():
+    long = "abbreviationissima" * 3
+    assert len(sentence_spans(f"The {long}. was new, and {long}. Hale left.")) == 1
+    assert len(sentence_spans("x" * 500 + " https://a.example/" + "y" * 300 + "abc.Def is one.")) == 1
+
+
 def test_long_text():
     text = "A short sentence stands here. " * 20_000
     assert len(sentence_spans(text)) == 20_000
@@ -43,9 +67,18 @@ def test_long_text():
 
 def test_units_and_corpus(spark):
     df = spark.createDataFrame([(1, "It took five wks. to end, and more wks. to mend, and wks. on. The end.", 5), (1, "It took five wks. to end, and more wks. to mend, and wks. on. The end.", 5), (2, None, 5), (3, " ", 5)], "id long, text string, unit_start int")
-    abbreviations, common = corpus_fallback(corpus_counts(df), least_count=2)
-    assert "wks" in abbreviations and "more" in common
+    tokens, words = corpus_evidence(corpus_counts(df))
+    assert {r.token for r in tokens.filter("abbreviation").collect()} == {"wks"} and "more" in {r.word for r in words.collect()}
     got = sentence_units(df)
     assert got.columns == ["id", "unit_start", "unit_end"]
     assert sorted((r.id, r.unit_start) for r in got.collect()) == [(1, 0), (1, 0), (1, 62), (1, 62)]
     assert sentence_units(df.limit(0)).count() == 0
+
+
+def test_units_as_spans(spark):
+    texts = [t for t, _ in CASES] + ["It took two wks. Hale left.", "Two wks. passed, and five wks. went by.", "It rains. Hale knows, as hale as ever."] * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    tokens, words = corpus_evidence(corpus_counts(df))
+    known = tokens.collect()
+    want = {(i, a, b) for i, t in enumerate(texts) for a, b in sentence_spans(t, frozenset(r.token for r in known if r.abbreviation), frozenset(r.word for r in words.collect()), frozenset(r.token for r in known if not r.abbreviation))}
+    assert {tuple(r) for r in sentence_units(df).collect()} == want
