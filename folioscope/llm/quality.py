@@ -13,21 +13,32 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.quality_rules import RULES
 
-_STARTS, _OTHER = r"[.(12\[_YN☐☑☒□<]", r"[^\n.(12\[_YN☐☑☒□<]"
-#: Lines that hold no running text, each kind by its form; only lines of up to 240 characters are looked at, but for encoded bytes.
-LISTED_LINES = r"(?m)^(?:[!-~]{41,}|(?=[^\n]{1,240}$)[ \t]*(?:" + "|".join([
-    r"[^\n|\t=]*[|\t=][^\n]*\S",  # columns, keys and values
-    r"[^\n]*(?:[,{}]|(?<!\p{IsGreek});)",  # items that end with a mark of a list, and code
-    r"(?:[-–—•*·▪]\s|\[[ xX\d]{0,3}\]\s|\(?(?:\d{1,3}|[a-zA-Z]|[ivx]{2,4})[.)]\s+(?:\p{Ll}|[^\n]{0,140}[^\n.?!。？！।؟ก-๙”\")\s][ \t]*$)|\d+(?:\.\d+)+\s)[^\n]*",  # items
-    r"[!-~]{1,40}(?:[ \t][!-~]{1,24})?",  # a word or two
-    r"[^\n\d]{0,40}(?:[ \t,;]*+[-–<(\[]*+\d[\d.%)\]–:]*+(?:to [\d.]+\)?)?+(?=[ \t,;]|$)){2,}+[,;]?",  # a label and numbers
-    # leaders, references, forms, code; the characters that none of them starts with are skipped in one go
-    rf"{_OTHER}*+(?:{_STARTS}{_OTHER}*+)*?(?:\. ?\. ?\. ?\.|\((?:19|20)\d\d[a-z]?\)[.,:][^\n]*\d ?\(\d|(?:19|20)\d\d;\d|\[ ?\]|____|\b[YN] ?/ ?N\b|[☐☑☒□]|<-|</)[^\n]*",
+#: Marks that a line of running text doesn't hold, and the characters that they start with.
+_MARKS, _STARTS = r"(?:\. ?\. ?\. ?\.|(?:19|20)\d\d;\d|\[ ?\]|____|\b[YN] ?/ ?N\b|[☐☑☒□]|<-|</)", r".12\[_YN☐☑☒□<"
+#: Characters of a line that end no sentence: anything but stops, of which those within numbers and after single letters count as letters.
+_NO_STOP = r"(?:[^\n.?!。！？।؟]|\.(?=[\d.])|(?<=\b\p{L})\.)*+"
+#: Lines that hold no running text, each kind by its form, whatever their length: columns are close together, so that one bar or sign in a long sentence makes none.
+LISTED_LINES = r"(?m)^(?:[!-~]{41,}|[ \t]*(?:" + "|".join([
+    r"(?:[^\n|\t]{0,80}[|\t])++(?:[^\n|\t]{0,80}\S)",  # columns
+    r"[^\n=]{1,80}=(?:[^\n=]{0,80}=)*+[^\n=]{0,80}",  # keys and values
+    r"(?:[^\n;]{0,40};){3,}+[^\n;]{0,40}",  # columns parted by semicolons
+    rf"{_NO_STOP}(?:[,{{}}]|(?<!\p{{IsGreek}});)",  # items that end with a mark of a list, and code
+    r"(?:[-–—•*·▪]\s|\[[ xX\d]{0,3}\]\s|\(?(?:\d{1,5}|[a-zA-Z]|[ivx]{2,4})[.)]\s+(?:\p{Ll}|[^\n]*[^\n.?!。！？।؟ก-๙”\")\s][ \t]*$)|\d+(?:\.\d+)+\s)[^\n]*",  # items
+    r"[!-~]++(?:[ \t][!-~]++)?",  # a word or two
+    r"[^\n\d.?!]*+(?:[ \t,;]*+[-–<(\[]*+\d[\d.%)\]–:]*+(?:to [\d.]+\)?)?+(?=[ \t,;]|$)){2,}+[,;]?",  # a label and numbers
+    r"[^\n(]*+\((?:19|20)\d\d[a-z]?\)[.,:][^\n]*\d ?\(\d[^\n]*",  # references: the year in the first brackets, then volume and issue
+    # leaders, references, forms, code; loops are possessive, so that no line is too long for the stack
+    rf"(?:[^\n{_STARTS}]++|(?!{_MARKS})[{_STARTS}])*+{_MARKS}[^\n]*",
 ]) + r")[ \t\r]*$)"
 #: Ends of sentences; of Thai, which has no stop, the space after a letter.
 STOPS = r"[.!?…ก-๙][\"'”’»)\]]*(?=\s|$)|[。！？।؟]"
+#: A word is what stands between white space; of scripts that part no words by it, each Han or kana character, and about four letters of Thai.
+WORDS = r"[぀-ヿ㐀-鿿]|[฀-๿]{1,4}|[^\s぀-ヿ㐀-鿿฀-๿]+"
+# Common words of several languages; of those without spaces, common characters and words anywhere.
+COMMON = "the of and to in is was that for with not be by are it der die und das ist nicht le la les des est que el los en de un no se в и не на что το και την في من أن में है ने की".split()
+COMMON_ANYWHERE = "的 了 是 在 和 不 这 は が を に の と も และ ที่ ใน ของ ไม่ เป็น".split()
 COUNTED = {
-    "words": r"\S+",
+    "words": WORDS,
     "stops": STOPS,
     "digits": r"\d",
     "symbols": r"[=<>|_\\^~+{}$@]",
@@ -35,7 +46,7 @@ COUNTED = {
     "commas": r"[,;]",
     "stopped_lines": r"[.!?。！？।؟…:;][\"'”’»)」]*[ \t\r]*(?:\n|$)",
     "short_words": r"(?<![\p{L}\p{N}_])\p{L}{1,3}(?![\p{L}\p{N}_])",
-    "common_words": r"(?i)(?<=\s)(?:the|of|and|to|in|is|was|that|for|with|not|be|by|are|it|der|die|und|das|ist|nicht|le|la|les|des|est|que|el|los|en|de|un|no|se|в|и|не|на|что|το|και|την|في|من|أن|में|है|ने|की)(?=\s)",
+    "common_words": rf"(?<![\p{{L}}\p{{M}}])(?:{'|'.join(COMMON)})(?![\p{{L}}\p{{M}}])|{'|'.join(COMMON_ANYWHERE)}",
     "single_letters": r"(?<!\S)[\p{L}\p{N},.](?!\S)",
     "miscoded": r"[\u0080-\u009F]|[ÃÂÐÑÎÏãàèéäåç][\u0080-¿‐-›€™šœžŸ]",
 }
@@ -47,17 +58,18 @@ def _let(value: Column, use) -> Column:
 
 
 def _distinct_share(t: Column) -> Column:
-    """Share of different ones among sentences and lines of more than 12 characters, numbers aside; 1 where there are fewer than four."""
-    sentences = F.filter(F.split(F.regexp_replace(t, r"\d+", ""), r"[.!?。！？।؟\n]"), lambda s: F.length(s) > 12)
-    return _let(sentences, lambda s: F.when(F.size(s) < 4, F.lit(1.0)).otherwise(F.size(F.array_distinct(s)) / F.size(s)))
+    """Share of the characters of sentences and lines, numbers aside, that are in different ones; 1 of a text without any."""
+    sentences = F.filter(F.transform(F.split(F.regexp_replace(t, r"\d+", ""), r"[.!?。！？।؟\n]"), lambda s: F.trim(s)), lambda s: s != "")
+    size = lambda parts: F.aggregate(parts, F.lit(0), lambda n, s: n + F.length(s))
+    return _let(sentences, lambda s: F.when(F.size(s) < 2, F.lit(1.0)).otherwise(size(F.array_distinct(s)) / size(s)))
 
 
-#: Each statistic: the counts that it is made of, and how. What is not in COUNTED: chars, lines, unlisted (characters outside listed lines) and distinct.
+#: Each statistic: the counts that it is made of, and how. What is not in COUNTED: chars, letters (and digits), lines, unlisted (characters outside listed lines) and distinct.
 STATISTICS = {
     "n_chars": (("chars",), lambda c: c.chars),
     "n_words": (("words",), lambda c: c.words),
     "n_lines": (("lines",), lambda c: c.lines),
-    "mean_word_length": (("chars", "words"), lambda c: _share(c.chars, c.words)),
+    "mean_word_length": (("letters", "words"), lambda c: _share(c.letters, c.words)),
     "words_per_line": (("words", "lines"), lambda c: _share(c.words, c.lines)),
     "symbol_share": (("symbols", "chars"), lambda c: _share(c.symbols, c.chars)),
     "digit_share": (("digits", "chars"), lambda c: _share(c.digits, c.chars)),
@@ -79,6 +91,10 @@ def _count(t: Column, name: str) -> Column:
         return F.length(t).cast("double")
     if name == "lines":
         return F.regexp_count(t, F.lit(r"[^\s][^\n]*")).cast("double")
+    if name == "letters":
+        return (F.length(t) - F.length(F.regexp_replace(t, r"[\p{L}\p{M}\p{N}]+", ""))).cast("double")
+    if name == "common_words":
+        return F.regexp_count(F.lower(t), F.lit(COUNTED[name])).cast("double")
     if name == "unbroken":
         return F.length(F.replace(t, F.lit("\n"), F.lit(""))).cast("double")
     if name == "unlisted":
@@ -113,10 +129,10 @@ def statistics(text: Column, names=tuple(STATISTICS)) -> Column:
     return with_statistics(text, names, lambda found: F.struct(*[found[n].alias(n) for n in names]))
 
 
-def document_statistics(df: DataFrame, column: str = "text") -> DataFrame:
+def document_statistics(df: DataFrame, column: str = "text", names=tuple(STATISTICS)) -> DataFrame:
     """df without its text but with one column for each statistic; columns of those names are replaced."""
-    kept = [c for c in df.columns if c != column and c not in STATISTICS]
-    return df.select(*kept, statistics(F.col(column)).alias("__found")).select(*kept, *[F.round(F.col("__found")[n], 6).alias(n) for n in STATISTICS])
+    kept = [F.col(f"`{c}`") for c in df.columns if c != column and c not in names]
+    return df.select(*kept, statistics(F.col(column), names).alias("__found")).select(*kept, *[F.round(F.col("__found")[n], 6).alias(n) for n in names])
 
 
 def verdict(stats: dict[str, Column], rules=RULES) -> Column:

@@ -99,8 +99,13 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The statistics of every document's text."""
-    return quality.document_statistics(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """The statistics of every document's text; listed_share, whose lines are told by their form, is in p8_listed."""
+    return quality.document_statistics(table(spark, sf_dir, "documents").select("doc_id", "text"), names=[n for n in quality.STATISTICS if n != "listed_share"])
+
+
+def p8_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document the share of its characters that stand in lines that hold no running text."""
+    return quality.document_statistics(table(spark, sf_dir, "documents").select("doc_id", "text"), names=["listed_share"])
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,11 +113,45 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).filter(~F.col("is_prose")).select("doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_entities": p3_entities, "p4_found": p4_found, "p4_linked": p4_linked, "p5_found": p5_found, "p6_containers": p6_containers, "p6_room": p6_room, "p6_checked": p6_checked, "p7_mixed": p7_mixed, "p7_shares": p7_shares, "p8_found": p8_found, "p8_statistics": p8_statistics}
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_entities": p3_entities, "p4_found": p4_found, "p4_linked": p4_linked, "p5_found": p5_found, "p6_containers": p6_containers, "p6_room": p6_room, "p6_checked": p6_checked, "p7_mixed": p7_mixed, "p7_shares": p7_shares, "p8_found": p8_found, "p8_statistics": p8_statistics, "p8_listed": p8_listed}
 
 SOURCE = r"regexp_replace(regexp_replace(lower(trim(source)), '[\s_-]+', '_', 'g'), '([^si])s$', '\1')"
 TRIM = r"regexp_replace({}, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')"
+_WORDS = "[぀-ヿ㐀-鿿]|[฀-๿]{1,4}|[^\\s぀-ヿ㐀-鿿฀-๿]+"
+
+
+def _found(pattern: str, text: str = "t") -> str:
+    return f"len(regexp_extract_all({text}, '{pattern}'))"
+
+
+def _per(part: str, whole: str) -> str:
+    return f"round({part} / greatest({whole}, 1), 6)"
+
+
+def _statistics_sql() -> str:
+    """The statistics by other means than the operator's: lists of tokens in place of patterns that look around."""
+    common = ", ".join(f"'{w}'" for w in quality.COMMON)
+    counts = {
+        "chars": "length(t)::DOUBLE", "words": _found(_WORDS), "lines": _found("[^\\s][^\\n]*"), "letters": "length(t) - length(regexp_replace(t, '[\\p{L}\\p{M}\\p{N}]+', '', 'g'))",
+        "symbols": _found("[=<>|_\\\\^~+{}$@]"), "digits": _found("[0-9]"), "capitals": _found("\\p{Lu}"), "commas": _found("[,;]"),
+        "stops": _found("[.!?…ก-๙][\"''”’»)\\]]*(?:\\s|$)|[。！？।؟]"), "stopped": _found("[.!?。！？।؟…:;][\"''”’»)」]*[ \\t\\r]*(?:\\n|$)"),
+        "short_words": "len(list_filter(regexp_extract_all(t, '[\\p{L}\\p{N}_]+'), lambda w: regexp_full_match(w, '\\p{L}{1,3}')))",
+        "common": f"len(list_filter(regexp_extract_all(lower(t), '[\\p{{L}}\\p{{M}}]+'), lambda w: w IN ({common}))) + " + _found("|".join(quality.COMMON_ANYWHERE), "lower(t)"),
+        "singles": "len(list_filter(regexp_extract_all(t, '\\S+'), lambda w: regexp_full_match(w, '[\\p{L}\\p{N},.]')))",
+        "miscoded": _found("[\\x{80}-\\x{9F}]|[ÃÂÐÑÎÏãàèéäåç][\\x{80}-¿‐-›€™šœžŸ]"),
+        "said": "list_filter(list_transform(string_split_regex(regexp_replace(t, '[0-9]+', '', 'g'), '[.!?。！？।؟\\n]'), lambda s: trim(s, ' ')), lambda s: s <> '')",
+    }
+    shares = {
+        "n_chars": "chars", "n_words": "words::DOUBLE", "n_lines": "lines::DOUBLE", "mean_word_length": _per("letters", "words"), "words_per_line": _per("words", "lines"), "symbol_share": _per("symbols", "chars"), "digit_share": _per("digits", "chars"),
+        "upper_share": _per("capitals", "chars"), "line_end_stop_share": _per("stopped", "lines"), "short_word_share": _per("short_words", "words"), "common_word_share": _per("common", "words"), "words_per_stop": _per("words", "stops"), "comma_share": _per("commas", "words"),
+        "single_share": _per("singles", "words"), "miscoded_share": _per("miscoded", "chars"),
+        "distinct_share": "CASE WHEN len(said) < 2 THEN 1.0 ELSE round(list_sum(list_transform(list_distinct(said), lambda s: length(s))) / list_sum(list_transform(said, lambda s: length(s))), 6) END",
+    }
+    return f"SELECT doc_id, {', '.join(f'{v} AS {k}' for k, v in shares.items())} FROM (SELECT doc_id, {', '.join(f'{v} AS {k}' for k, v in counts.items())} FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))"
+
+
 ORACLES = {
+    "p8_statistics": _statistics_sql(),
     "p2_found": f"""
         SELECT passage_id, field_name FROM (
           SELECT passage_id, 'text' AS field_name, text AS value FROM note_passages

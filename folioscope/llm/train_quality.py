@@ -28,11 +28,17 @@ WAYS = {"n_words": ">=", "symbol_share": ">=", "digit_share": ">=", "words_per_s
 SEEDS = 12
 
 
+def outward(op: str, threshold: float) -> float:
+    """A threshold of four digits or a few more that still holds for the value itself."""
+    short = float(f"{threshold:.4g}")
+    return short if (short <= threshold if op == ">=" else short >= threshold) else float(f"{threshold + (-1 if op == '>=' else 1) * 1e-4 * max(abs(threshold), 1e-6):.5g}")
+
+
 def learn(spark: SparkSession) -> tuple[list, float]:
     """(rules for what is no prose, share of held-out labels that they give)."""
     x, y = table_of(spark, labelled_documents())
     vx, vy = table_of(spark, labelled_documents(3000, seed=78))
-    lists = [[[(name, op, float(f"{t:.4g}")) for name, op, t in rule] for rule in induce(x, y, seed=s, ways=WAYS)] for s in range(SEEDS)]
+    lists = [[[(name, op, outward(op, t)) for name, op, t in rule] for rule in induce(x, y, seed=s, ways=WAYS)] for s in range(SEEDS)]
     rules = max(lists, key=lambda r: (classify(r, vx) == vy).mean())
     hx, hy = table_of(spark, labelled_documents(1500, seed=77))
     return rules, float((classify(rules, hx) == hy).mean())

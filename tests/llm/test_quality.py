@@ -29,6 +29,21 @@ def test_controls(spark):
     assert [r.is_prose for r in judged_documents(df).orderBy("doc_id").collect()] == [True] * len(PROSE) + [False] * len(JUNK)
 
 
+def test_forms_of_any_length(spark):
+    wide = "\n".join("\t".join(f"value {i}" for i in range(90)) for _ in range(4))
+    long_items = "\n".join(f"- the {'very ' * 120}long item" for _ in range(4))
+    prose = "The share of the readers was p = 0.03 | as printed, " + "and so it went on until dawn. The story was told for many a page, " * 2 + "as they say. It ended well, and nobody asked for more."
+    df = spark.createDataFrame([(1, wide), (2, long_items), (3, prose), (4, "x, " * 400_000), (5, "A long line. " * 90_000 + "4. "), (6, "We agree with this. " * 3)], "doc_id long, text string")
+    assert {r.doc_id: r.is_prose for r in judged_documents(df).collect()} == {1: False, 2: False, 3: True, 4: False, 5: False, 6: False}
+
+
+def test_means(spark):
+    df = spark.createDataFrame([(1, "The cat, the dog."), (2, "我们去了花园。"), (3, "Und das ist der Weg; nicht hier")], "doc_id long, text string")
+    got = {r.doc_id: r for r in document_statistics(df).collect()}
+    assert (got[1].n_words, got[1].mean_word_length, got[1].common_word_share) == (4, 3, 0.5)
+    assert got[2].n_words == 7 and got[2].common_word_share > 0 and got[3].common_word_share == round(5 / 7, 6)
+
+
 def test_edges(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, " \n", "x"), (4, "word. " * 200_000, "x")], "doc_id long, text string, is_prose string")
     assert {r.doc_id: r.is_prose for r in judged_documents(df).collect() if r.doc_id < 4} == {1: False, 2: False, 3: False}
