@@ -13,32 +13,29 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.quality_rules import RULES
 
-#: Marks that a line of running text doesn't hold, and the characters that they start with.
-_MARKS, _STARTS = r"(?:\. ?\. ?\. ?\.|(?:19|20)\d\d;\d|\[ ?\]|____|\b[YN] ?/ ?N\b|[☐☑☒□]|<-|</)", r".12\[_YN☐☑☒□<"
-#: Characters of a line that end no sentence: anything but stops, of which those within numbers and after single letters count as letters.
-_NO_STOP = r"(?:[^\n.?!。！？।؟]|\.(?=[\d.])|(?<=\b\p{L})\.)*+"
-#: Lines that hold no running text, each kind by its form, whatever their length: columns are close together, so that one bar or sign in a long sentence makes none.
-LISTED_LINES = r"(?m)^(?:[!-~]{41,}|[ \t]*(?:" + "|".join([
-    r"(?:[^\n|\t]{0,80}[|\t])++(?:[^\n|\t]{0,80}\S)",  # columns
-    r"[^\n=]{1,80}=(?:[^\n=]{0,80}=)*+[^\n=]{0,80}",  # keys and values
-    r"(?:[^\n;]{0,40};){3,}+[^\n;]{0,40}",  # columns parted by semicolons
-    rf"{_NO_STOP}(?:[,{{}}]|(?<!\p{{IsGreek}});)",  # items that end with a mark of a list, and code
+#: Marks that a line of running text doesn't hold, and the characters that they start with. No class here that leaves characters out names any beyond Latin: such a class costs thirty times as much.
+_MARKS, _STARTS = r"(?:\. ?\. ?\. ?\.|(?<=(?:19|20)\d\d);\d|\[ ?\]|____|\b[YN] ?/ ?N\b|<-|</)", r".;\[_YN<"
+#: Lines that hold no running text, each kind by its form, whatever their length: columns are close together, so that one bar or sign in a long sentence makes none. Loops are possessive, so that no line is too long for the stack.
+LISTED_LINES = r"(?md)^(?:[!-~]{41,}|[ \t]*(?:" + "|".join([
+    r"(?:[^\n|\t]{0,80}+[|\t])++(?:[^\n|\t]{0,80}\S)",  # columns
+    r"[^\n=]{1,80}+=(?:[^\n=]{0,80}+=)*+[^\n=]{0,80}+",  # keys and values
+    r"(?:[^\n;]{0,40}+;){3,}+[^\n;]{0,40}+",  # columns parted by semicolons
+    r"[^\n.?!]*+(?:\.[\d.][^\n.?!]*+)*+(?<=[,;{}][ \t\r]{0,4})(?<!\p{IsGreek};[ \t\r]{0,4})",  # items without a stop that end with a mark of a list, and code
     r"(?:[-–—•*·▪]\s|\[[ xX\d]{0,3}\]\s|\(?(?:\d{1,5}|[a-zA-Z]|[ivx]{2,4})[.)]\s+(?:\p{Ll}|[^\n]*[^\n.?!。！？।؟ก-๙”\")\s][ \t]*$)|\d+(?:\.\d+)+\s)[^\n]*",  # items
     r"[!-~]++(?:[ \t][!-~]++)?",  # a word or two
     r"[^\n\d.?!]*+(?:[ \t,;]*+[-–<(\[]*+\d[\d.%)\]–:]*+(?:to [\d.]+\)?)?+(?=[ \t,;]|$)){2,}+[,;]?",  # a label and numbers
     r"[^\n(]*+\((?:19|20)\d\d[a-z]?\)[.,:][^\n]*\d ?\(\d[^\n]*",  # references: the year in the first brackets, then volume and issue
-    # leaders, references, forms, code; loops are possessive, so that no line is too long for the stack
-    rf"(?:[^\n{_STARTS}]++|(?!{_MARKS})[{_STARTS}])*+{_MARKS}[^\n]*",
+    rf"(?:[^\n{_STARTS}]++|(?!{_MARKS})[{_STARTS}])*+{_MARKS}[^\n]*",  # leaders, references, forms, code
 ]) + r")[ \t\r]*$)"
+BOXES = "[☐☑☒□]"
 #: Ends of sentences; of Thai, which has no stop, the space after a letter.
 STOPS = r"[.!?…ก-๙][\"'”’»)\]]*(?=\s|$)|[。！？।؟]"
 #: A word is what stands between white space; of scripts that part no words by it, each Han or kana character, and about four letters of Thai.
-WORDS = r"[぀-ヿ㐀-鿿]|[฀-๿]{1,4}|[^\s぀-ヿ㐀-鿿฀-๿]+"
+WORDS, UNPARTED, UNPARTED_WORDS = r"\S+", "[぀-ヿ㐀-鿿฀-๿]+", "[぀-ヿ㐀-鿿]|[฀-๿]{1,4}"
 # Common words of several languages; of those without spaces, common characters and words anywhere.
 COMMON = "the of and to in is was that for with not be by are it der die und das ist nicht le la les des est que el los en de un no se в и не на что το και την في من أن में है ने की".split()
 COMMON_ANYWHERE = "的 了 是 在 和 不 这 は が を に の と も และ ที่ ใน ของ ไม่ เป็น".split()
 COUNTED = {
-    "words": WORDS,
     "stops": STOPS,
     "digits": r"\d",
     "symbols": r"[=<>|_\\^~+{}$@]",
@@ -91,6 +88,9 @@ def _count(t: Column, name: str) -> Column:
         return F.length(t).cast("double")
     if name == "lines":
         return F.regexp_count(t, F.lit(r"[^\s][^\n]*")).cast("double")
+    if name == "words":
+        unparted = F.regexp_count(t, F.lit(UNPARTED_WORDS)) + F.regexp_count(F.regexp_replace(t, UNPARTED, " "), F.lit(WORDS))
+        return F.when(t.rlike(UNPARTED), unparted).otherwise(F.regexp_count(t, F.lit(WORDS))).cast("double")
     if name == "letters":
         return (F.length(t) - F.length(F.regexp_replace(t, r"[\p{L}\p{M}\p{N}]+", ""))).cast("double")
     if name == "common_words":
@@ -98,7 +98,7 @@ def _count(t: Column, name: str) -> Column:
     if name == "unbroken":
         return F.length(F.replace(t, F.lit("\n"), F.lit(""))).cast("double")
     if name == "unlisted":
-        return F.length(F.replace(F.regexp_replace(t, LISTED_LINES, ""), F.lit("\n"), F.lit(""))).cast("double")
+        return F.length(F.replace(F.regexp_replace(F.when(t.rlike(BOXES), F.regexp_replace(t, BOXES, "[ ]")).otherwise(t), LISTED_LINES, ""), F.lit("\n"), F.lit(""))).cast("double")
     if name == "distinct":
         return _distinct_share(t)
     return F.regexp_count(t, F.lit(COUNTED[name])).cast("double")
