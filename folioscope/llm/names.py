@@ -22,22 +22,21 @@ from folioscope.llm.components import connected_components
 from folioscope.llm.tries import trie_join
 from folioscope.sources.tables import checkpoint
 
-# Short forms of given names.
+# English and Russian short forms that are no beginning or end of their name; the others are found by rule.
 NICKNAMES = {
-    "alexander": "alex sandy sasha xander sander", "andrew": "andy drew", "anthony": "tony", "antonia": "toni nia tonia", "aurelio": "lelio", "barbara": "barb babs", "benjamin": "ben benny benji",
-    "bettina": "tina betty", "catherine": "kate kathy cathy katie kitty", "charles": "charlie chuck", "charlotte": "charlie lottie lotte", "christopher": "chris kit topher", "cormac": "mac", "daniel": "dan danny",
-    "david": "dave", "deborah": "deb debbie", "dorothea": "dora dot dottie thea", "edward": "ed eddie ned ted teddy", "elizabeth": "beth liz lizzie eliza betty betsy bess libby", "francesca": "cesca fran frankie",
-    "frederick": "fred freddie fritz rick", "gabriela": "gabi gaby gabby ela", "gregory": "greg grisha", "helena": "lena nell helen", "ingrid": "inga", "isabella": "bella izzy isa", "james": "jim jimmy jamie", "jennifer": "jen jenny",
-    "john": "jack johnny", "josephine": "josie jo", "joseph": "joe joey", "katherine": "kate kathy kat katie kitty kit kay", "leonard": "leo len lenny", "lorenz": "enzo renzo", "margaret": "maggie meg peggy greta madge marge rita",
-    "maria": "masha mia", "matthias": "matt matty", "matthew": "matt", "michael": "mike mick misha", "nicholas": "nick", "nikolai": "nick kolya nik niko", "olufemi": "femi olu", "oriol": "uri", "ottavio": "otto tavi", "patricia": "pat patty trish tricia",
-    "patrick": "pat paddy", "pavlina": "pavla lina", "peter": "pete", "ravindra": "ravi", "rebecca": "becky", "richard": "dick rich rick ricky", "robert": "rob bob bobby bert", "rosalba": "rosa alba", "samuel": "sam sammy", "soledad": "sole chole",
-    "stephen": "steve", "sunniva": "sunni niva", "susanna": "sue sanna susie suzy", "thaddeus": "thad tad", "theodore": "theo ted teddy", "thomas": "tom tommy", "ulrika": "rika ulla", "valdis": "val", "veronica": "vera ronnie nica", "wilhelmina": "mina willa minna billie wilma mena",
-    "william": "will bill billy liam", "yannick": "yan yann nick", "zainab": "zee",
-}
+    "alexander": "alec sandy sasha", "alexandra": "sandy sasha", "andrew": "drew", "anthony": "tony", "antonia": "toni", "caroline": "carrie", "charlotte": "charlie lottie", "catherine": "kate kathy katie kitty cathy", "charles": "chuck charlie", "christopher": "kit topher", "dmitri": "dima mitya", "dorothy": "dot dottie dolly", "dorothea": "dot dottie thea", "edward": "ed eddie ned ted teddy", "eleanor": "ellie nell nora", "elizabeth": "beth bess betsy betty eliza libby lizzie liz",
+    "frances": "fanny frankie", "frederick": "freddie fritz", "gabriela": "gabby", "helen": "nell nellie", "grigori": "grisha", "helena": "nell", "henry": "hal hank harry", "isabella": "bella izzy", "ivan": "vanya", "james": "jamie jem jim jimmy", "jennifer": "jenny jen", "john": "jack johnny", "leonard": "len lenny", "josephine": "josie jo", "katherine": "kate kathy katie kitty kay",
+    "lawrence": "larry", "margaret": "greta madge maggie marge meg peggy", "maria": "masha mitzi", "martha": "patty", "mary": "molly polly", "matthew": "matty", "michael": "mick mickey mike", "mikhail": "misha", "nicholas": "nicky", "nikolai": "kolya", "patricia": "patty tricia trish", "patrick": "paddy", "rebecca": "becky", "richard": "dick rick ricky", "robert": "bob bobby rob bert", "sarah": "sadie sally",
+    "stephen": "steve", "susan": "sue susie suzy", "susanna": "sue susie suzy", "theodore": "ted teddy", "thomas": "tommy", "veronica": "ronnie", "victoria": "vicky", "wilhelmina": "billie minnie wilma", "william": "bill billy liam willie",
+}
+#: Endings that short forms take on.
+SHORT_ENDINGS = ("y", "ie", "i", "a", "o", "ey")
 TITLES = frozenset("dr prof professor mr mrs ms miss mx sir dame rev".split())
 SUFFIXES = frozenset("phd md msc bsc ba ma mph dphil frs jr sr ii iii iv esq rn".split())
 GROUP_WORDS = ("consort", "collab", "group", "grp", "network", "netw", "study", "studies", "trial", "initiative", "committee", "investigator", "team", "society", "alliance", "cohort", "working", "registry", "task", "panel", "project", "institute", "research", "measur")
 SMALL_WORDS = frozenset("on for in of the and at by to de la et und for".split())
+#: Letters of a full name and of a surname from which one edit is a slip without more evidence.
+SURE_NAME, SURE_SURNAME = 9, 6
 _FOLDS = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "ð": "d", "þ": "th", "ı": "i"})
 _PARSED = StructType([StructField("kind", StringType()), StructField("tokens", ArrayType(StringType())), StructField("initials", StringType()), StructField("settled", BooleanType())])
 
@@ -125,7 +124,7 @@ def parsed_names(spellings: DataFrame) -> DataFrame:
     surname = F.when(F.col("kind") == "group", first).when(F.col("turned"), first).otherwise(last)
     name_given = F.when(F.col("kind") == "group", F.concat(F.lit("#"), last)).when(F.size("tokens") < 2, F.lit("")).when(F.col("turned"), F.element_at("tokens", 2)).otherwise(first)
     # of a turned name the first letter in order belongs to the surname
-    letters = F.when(F.col("turned"), F.substring("initials", 2, 9)).when(~F.col("settled"), F.expr("left(initials, length(initials) - if(apart, 2, 1))")).otherwise(F.col("initials"))
+    letters = F.when(F.col("turned"), F.expr("substring(initials, 2)")).when(~F.col("settled"), F.expr("left(initials, length(initials) - if(apart, 2, 1))")).otherwise(F.col("initials"))
     return both.select("name", "n", "kind", surname.alias("surname"), name_given.alias("given"), letters.alias("initials"))
 
 
@@ -142,6 +141,20 @@ def _with_ph(df: DataFrame, word: str) -> DataFrame:
 
 
 
+def _likely_slips(near: DataFrame, keys: DataFrame) -> DataFrame:
+    """Of df(src, dst) of keys one edit apart those that a slip explains: long ones, and short ones where the part that differs is of no other name.
+
+    One letter makes another name of a short one; but a part that stands beside one partner
+    only, while the other one's stands beside several, isn't a name in use.
+    """
+    size = F.least(F.length("src"), F.length("dst"))
+    parts = keys.select(F.explode(F.array_distinct(F.split("key", " "))).alias("part"), "key")
+    partners = parts.groupBy("part").agg(F.count("*").alias("k"))
+    of = lambda side: near.filter(size < SURE_NAME).select("src", "dst", F.explode(F.array_except(F.split(side, " "), F.split("dst" if side == "src" else "src", " "))).alias("part")).join(partners, "part").groupBy("src", "dst").agg(F.max("k").alias(f"{side}_k"))
+    lone = of("src").join(of("dst"), ["src", "dst"]).filter((F.least("src_k", "dst_k") == 1) & (F.greatest("src_k", "dst_k") > 1)).select("src", "dst")
+    return near.filter(size >= SURE_NAME).unionByName(lone)
+
+
 def link_names(spellings: DataFrame) -> DataFrame:
     """(name, entity) for each spelling of df(name, n): spellings of one person or group have the same entity.
 
@@ -157,9 +170,10 @@ def link_names(spellings: DataFrame) -> DataFrame:
     words = keys.select(F.col("key").alias("word")).unionByName(full.select(F.concat_ws(" ", "given", "surname").alias("word"))).unionByName(full.select(F.concat_ws(" ", "surname", "given").alias("word")))
     permuted = lambda c: F.concat_ws(" ", F.array_sort(F.split(c, " ")))
     words = _with_ph(words.distinct(), "word")
-    met = trie_join(words.select("word").distinct(), "word", least_length=9)
+    met = trie_join(words.select("word").distinct(), "word", least_length=4)
     left, right = words.toDF("left_word", "l"), words.toDF("right_word", "r")
     near = met.join(left, "left_word").join(right, "right_word").select(permuted(F.col("l")).alias("src"), permuted(F.col("r")).alias("dst")).filter("src != dst").distinct()
+    near = _likely_slips(near, keys)
     entity = connected_components(keys.select(F.col("key").alias("node")), near).withColumnRenamed("node", "key")
     named = checkpoint(full.select("key", "surname", "given", "kind", "initials").distinct().join(entity, "key"))
     # 2: a short form of a given name, under the same surname
@@ -168,7 +182,12 @@ def link_names(spellings: DataFrame) -> DataFrame:
     person = named.filter("kind = 'person'").select("surname", "given", "component").distinct()
     by_table = person.join(F.broadcast(table), person.given == table.short).select("surname", F.col("formal").alias("given"), F.col("component").alias("source")).join(person, ["surname", "given"]).select("source", F.col("component").alias("target"))
     size = F.length("given")
-    ends = person.filter(size >= 5).select("surname", "component", F.explode(F.array_union(F.transform(F.sequence(F.lit(3), size - 1), lambda i: F.left(F.col("given"), i)), F.transform(F.sequence(F.lit(4), size - 1), lambda i: F.right(F.col("given"), i)))).alias("given"))
+    starts = F.transform(F.sequence(F.lit(3), size - 1), lambda i: F.left(F.col("given"), i))
+    # Joseph, Joe; Gregory, Gregy; Vincent, Vinnie: a beginning, its last letter doubled or not, and an ending
+    endings = F.array(*map(F.lit, SHORT_ENDINGS))
+    softened = F.flatten(F.transform(F.array_union(F.array(F.left("given", F.lit(2))), starts), lambda s: F.flatten(F.transform(endings, lambda e: F.array(F.concat(s, e), F.concat(s, F.right(s, F.lit(1)), e))))))
+    tails = F.transform(F.sequence(F.lit(3), size - 1), lambda i: F.right(F.col("given"), i))
+    ends = person.filter(size >= 5).select("surname", "component", F.explode(F.array_distinct(F.concat(starts, softened, tails))).alias("given"))
     by_end = person.withColumnRenamed("component", "source").join(ends, ["surname", "given"]).select("source", F.col("component").alias("target"))
     short_of = _one_target(by_table.unionByName(by_end).filter("source != target"))
     # a chain of short forms ends at the form that is itself short of none
@@ -178,18 +197,21 @@ def link_names(spellings: DataFrame) -> DataFrame:
     # 3: initials, under the same surname or one that is one edit away
     people = resolved.filter("kind = 'person'")
     letter = people.select("surname", F.left("given", F.lit(1)).alias("letter"), "entity").distinct()
-    seconds = people.filter(F.length("initials") > 1).select("entity", F.left("initials", F.lit(2)).alias("two")).distinct()
+    several = people.filter(F.length("initials") > 1).select("entity", F.col("initials").alias("known")).distinct()
     short = bare.select("surname", "initials").distinct().withColumn("letter", F.left("initials", F.lit(1)))
     groups = resolved.filter("kind = 'group'").select("surname", F.col("initials").alias("acronym"), "entity").distinct()
     acronyms = short.join(groups, (short.surname == groups.surname) & (F.array_join(F.array_sort(F.split(short.initials, "")), "") == groups.acronym)).select(short.surname, short.initials, "entity").distinct()
     exact = short.join(letter, ["surname", "letter"]).withColumn("edits", F.lit(0))
     surnames = _with_ph(short.select("surname").unionByName(letter.select("surname")).distinct(), "surname")
-    met = trie_join(surnames.select("surname").distinct(), "surname", least_length=6)
+    met = trie_join(surnames.select("surname").distinct(), "surname", least_length=3)
     apart = met.join(surnames.toDF("left_word", "l"), "left_word").join(surnames.toDF("right_word", "r"), "right_word").filter("l != r").select(F.col("l").alias("left_word"), F.col("r").alias("right_word")).distinct()
     either = apart.unionAll(apart.select("right_word", "left_word")).toDF("surname", "near_surname")
+    # a short surname that full names have too is no slip of another one
+    either = either.filter(F.length("surname") >= SURE_SURNAME).unionByName(either.filter(F.length("surname") < SURE_SURNAME).join(letter.select("surname").distinct(), "surname", "left_anti"))
     typed = short.join(either, "surname").join(letter.withColumnRenamed("surname", "near_surname"), ["near_surname", "letter"]).select("surname", "letter", "initials", "entity", F.lit(1).alias("edits"))
     candidates = exact.select("surname", "letter", "initials", "entity", "edits").unionByName(typed).groupBy("surname", "initials", "entity").agg(F.min("edits").alias("edits"))
-    fits = candidates.join(seconds, (candidates.entity == seconds.entity) & (F.left(candidates.initials, F.lit(2)) == seconds.two), "left").select(candidates["*"], F.col("two").isNotNull().cast("int").alias("fits"))
+    agree = F.col("initials").startswith(F.col("known")) | F.col("known").startswith(F.col("initials"))
+    fits = candidates.join(several, "entity", "left").groupBy("surname", "initials", "entity", "edits").agg(F.max(F.coalesce((F.length("initials") > 1) & agree, F.lit(False)).cast("int")).alias("fits"))
     best = Window.partitionBy("surname", "initials").orderBy("edits", F.desc("fits"))
     chosen = fits.withColumn("r", F.rank().over(best)).filter("r = 1").groupBy("surname", "initials").agg(F.min("entity").alias("entity"), F.countDistinct("entity").alias("k")).filter("k = 1").select("surname", "initials", "entity")
     chosen = acronyms.groupBy("surname", "initials").agg(F.min("entity").alias("entity")).unionByName(chosen.join(acronyms, ["surname", "initials"], "left_anti"))

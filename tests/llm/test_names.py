@@ -71,3 +71,15 @@ def test_a_slip_in_ph_is_one_edit(spark):
     names = ["Josephine Mivimerees", "Josepsine Mivimerees", "Josefine Mivimerees", "Christopher Laronde", "Christoper Laronde", "Miriam Laronde"]
     got = dict(map(tuple, link_names(spark.createDataFrame([(n, 1) for n in names], "name string, n long")).select("name", "entity").collect()))
     assert len({got[n] for n in names[:3]}) == 1 and got[names[3]] == got[names[4]] != got[names[5]]
+
+
+def test_short_names(spark):
+    names = [("Li Wei", 9), ("Li Chen", 9), ("Li Hua", 9), ("Wu Wei", 5), ("Wu Chen", 3), ("Wu Hua", 4), ("Lee Hua", 7), ("Ana Ruz", 9), ("Eva Ruz", 4), ("Ben Ruz", 4), ("Ana Rwz", 1), ("A. Ruz", 2)]
+    got = dict(map(tuple, link_names(spark.createDataFrame(names, "name string, n long")).select("name", "entity").collect()))
+    assert got["Ana Ruz"] == got["Ana Rwz"] == got["A. Ruz"] and len({got[n] for n, _ in names[:7]}) == 7 and got["Eva Ruz"] != got["Ana Ruz"]
+
+
+def test_many_initials(spark):
+    names = ["Maria Anna Beatrice Laronde", "Laronde, Maria A. B.", "Laronde MAB", "Laronde MXB", "Maria Xenia Laronde", "Markus Laronde"]
+    got = dict(map(tuple, link_names(spark.createDataFrame([(n, 3) for n in names], "name string, n long")).select("name", "entity").collect()))
+    assert got["Laronde MAB"] == got["Maria Anna Beatrice Laronde"] and got["Markus Laronde"] not in (got["Laronde MAB"], got["Laronde MXB"])
