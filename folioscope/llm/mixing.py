@@ -64,7 +64,7 @@ def draws(sizes: DataFrame, planned: DataFrame, seed: int = 1) -> DataFrame:
     before = totals.withColumn("before", F.coalesce(F.sum("in_bucket").over(Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).drop("in_bucket")
     inside = Window.partitionBy(*group, "bucket").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     # targets x repeats x BUCKETS rows at most, whatever the number of documents
-    placed = used.withColumn("own", F.sum("n_tokens").over(inside) - F.col("n_tokens") / 2).join(F.broadcast(before), [*group, "bucket"])
+    placed = used.withColumn("own", F.sum("n_tokens").over(inside) - F.col("n_tokens") / 2).join(before, [*group, "bucket"])
     placed = placed.withColumn("middle", (F.col("use_no") - 1) * F.col("available_tokens") + F.col("before") + F.col("own")).filter("middle <= to_draw")
     f, a = F.col("middle") / F.col("to_draw"), F.col("slope")
     # the integral of 1 + a(2t - 1) up to t is t + a(t^2 - t); t where it is f

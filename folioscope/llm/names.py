@@ -183,12 +183,13 @@ def link_names(spellings: DataFrame) -> DataFrame:
     by_table = person.join(F.broadcast(table), person.given == table.short).select("surname", F.col("formal").alias("given"), F.col("component").alias("source")).join(person, ["surname", "given"]).select("source", F.col("component").alias("target"))
     size = F.length("given")
     starts = F.transform(F.sequence(F.lit(3), size - 1), lambda i: F.left(F.col("given"), i))
-    # Joseph, Joe; Gregory, Gregy; Vincent, Vinnie: a beginning, its last letter doubled or not, and an ending
-    endings = F.array(*map(F.lit, SHORT_ENDINGS))
-    softened = F.flatten(F.transform(F.array_union(F.array(F.left("given", F.lit(2))), starts), lambda s: F.flatten(F.transform(endings, lambda e: F.array(F.concat(s, e), F.concat(s, F.right(s, F.lit(1)), e))))))
     tails = F.transform(F.sequence(F.lit(3), size - 1), lambda i: F.right(F.col("given"), i))
-    ends = person.filter(size >= 5).select("surname", "component", F.explode(F.array_distinct(F.concat(starts, softened, tails))).alias("given"))
-    by_end = person.withColumnRenamed("component", "source").join(ends, ["surname", "given"]).select("source", F.col("component").alias("target"))
+    ends = person.filter(size >= 5).select("surname", "component", F.explode(F.array_union(starts, tails)).alias("stem"))
+    # a short form is a beginning or end of the name, or a beginning, its last letter doubled or not, and an ending: Vincent, Vinnie
+    bare_stem = F.array_compact(F.array(*[F.when(F.col("given").endswith(e), F.expr(f"left(given, length(given) - {len(e)})")) for e in SHORT_ENDINGS]))
+    single = F.transform(F.filter(bare_stem, lambda s: F.right(s, F.lit(1)) == F.substring(s, -2, 1)), lambda s: F.left(s, F.length(s) - 1))
+    stems = F.array_union(F.array("given"), F.filter(F.array_union(bare_stem, single), lambda s: F.length(s) >= 3))
+    by_end = person.select("surname", F.col("component").alias("source"), F.explode(stems).alias("stem")).join(ends, ["surname", "stem"]).select("source", F.col("component").alias("target"))
     short_of = _one_target(by_table.unionByName(by_end).filter("source != target"))
     # a chain of short forms ends at the form that is itself short of none
     onward = short_of.select(F.col("source").alias("target"), F.col("target").alias("further"))
