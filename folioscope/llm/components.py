@@ -8,18 +8,20 @@ from pyspark.sql import functions as F
 from folioscope.sources.tables import checkpoint
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, known_nodes: bool = False) -> DataFrame:
     """(node, component): the least node that paths of df(src, dst) reach from each of df(node).
 
     Large-star and small-star rounds: every node sends its neighbours to the least node it
     knows, so rounds grow with the logarithm of the longest path. Edges to unknown nodes
-    and loops are ignored; a node without edges is its own component. Each round is
+    and loops are ignored (known_nodes says that there are none of the former); a node
+    without edges is its own component. Each round is
     written to the checkpoint folder; two rounds are the same if the counts and the sums of
     hashes of their edges are, and nothing is collected but these.
     """
     known = nodes.select("node").distinct()
     pairs = edges.filter("src is not null and dst is not null and src != dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct()
-    pairs = pairs.join(known.withColumnRenamed("node", "a"), "a", "left_semi").join(known.withColumnRenamed("node", "b"), "b", "left_semi")
+    if not known_nodes:
+        pairs = pairs.join(known.withColumnRenamed("node", "a"), "a", "left_semi").join(known.withColumnRenamed("node", "b"), "b", "left_semi")
     pairs = checkpoint(pairs)
     print_of = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     known_by = print_of(pairs)

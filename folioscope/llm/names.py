@@ -147,12 +147,14 @@ def _likely_slips(near: DataFrame, keys: DataFrame) -> DataFrame:
     One letter makes another name of a short one; but a part that stands beside one partner
     only, while the other one's stands beside several, isn't a name in use.
     """
-    size = F.least(F.length("src"), F.length("dst"))
-    parts = keys.select(F.explode(F.array_distinct(F.split("key", " "))).alias("part"), "key")
+    parts = keys.select("key", F.explode(F.split("key", " ")).alias("part")).distinct()
     partners = parts.groupBy("part").agg(F.count("*").alias("k"))
-    of = lambda side: near.filter(size < SURE_NAME).select("src", "dst", F.explode(F.array_except(F.split(side, " "), F.split("dst" if side == "src" else "src", " "))).alias("part")).join(partners, "part").groupBy("src", "dst").agg(F.max("k").alias(f"{side}_k"))
-    lone = of("src").join(of("dst"), ["src", "dst"]).filter((F.least("src_k", "dst_k") == 1) & (F.greatest("src_k", "dst_k") > 1)).select("src", "dst")
-    return near.filter(size >= SURE_NAME).unionByName(lone)
+    counts = parts.join(partners, "part").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("part", "k"))).alias("m"))
+    both = near.join(counts.toDF("src", "src_m"), "src").join(counts.toDF("dst", "dst_m"), "dst")
+    own = lambda m, x, y: F.array_max(F.transform(F.array_except(F.split(x, " "), F.split(y, " ")), lambda p: F.element_at(m, p)))
+    src, dst = own(F.col("src_m"), "src", "dst"), own(F.col("dst_m"), "dst", "src")
+    sure = F.least(F.length("src"), F.length("dst")) >= SURE_NAME
+    return both.filter(sure | (F.least(src, dst) == 1) & (F.greatest(src, dst) > 1)).select("src", "dst")
 
 
 def link_names(spellings: DataFrame) -> DataFrame:
@@ -174,7 +176,7 @@ def link_names(spellings: DataFrame) -> DataFrame:
     left, right = words.toDF("left_word", "l"), words.toDF("right_word", "r")
     near = met.join(left, "left_word").join(right, "right_word").select(permuted(F.col("l")).alias("src"), permuted(F.col("r")).alias("dst")).filter("src != dst").distinct()
     near = _likely_slips(near, keys)
-    entity = connected_components(keys.select(F.col("key").alias("node")), near).withColumnRenamed("node", "key")
+    entity = connected_components(keys.select(F.col("key").alias("node")), near, known_nodes=True).withColumnRenamed("node", "key")
     named = checkpoint(full.select("key", "surname", "given", "kind", "initials").distinct().join(entity, "key"))
     # 2: a short form of a given name, under the same surname
     forms = [(folded(short), folded(formal)) for formal, shorts in NICKNAMES.items() for short in shorts.split()]
