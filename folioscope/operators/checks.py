@@ -10,14 +10,19 @@ from folioscope.operators.claims import longest_run
 from folioscope.operators.segments import adjacent_pairs, filled_forward, line_rows, sentence_rows
 
 _N = r"[-+]?\d+(?:\.\d+)?"
-#: An estimate with its interval: in brackets, or after the words.
-ESTIMATES = (rf"({_N}) \(({_N}) to ({_N})\)", rf"was ({_N}) with an interval from ({_N}) to ({_N})", rf"was ({_N}) \(95 ?% CI:? ({_N})(?:,| to) ({_N})\)")
+_TO = r"(?: to |, ?| ?; ?| ?– ?)"
+_OF_INTERVAL = r"(?:95 ?% )?(?:confidence |credible )?interval (?:of|from|between) "
+#: An estimate with its interval: in brackets, with or without a label, or after the words.
+ESTIMATES = (rf"({_N}) ?[\[(](?:95 ?% ?(?:CI|CrI|confidence interval)[:,;]? ?)?({_N}){_TO}({_N})[\])]", rf"({_N}),? (?:with|and) (?:an? |the )?{_OF_INTERVAL}({_N}) (?:to|and) ({_N})")
 #: Words that are no evidence of a shared source.
 RUN_STOP = tuple("a an the of in on for to and or as at by with was were is are be been this that these those it its from which than then not no but if each any we our their there they he she his her into also".split())
 PERCENT = r"\(\s*(\d+(?:\.\d+)?)\s*%\s*\)"
 TOLERANCE, MOST_SHARE = 8.0, 90.0
-ARTEFACT = r"(?i)error! (?:reference source not found|bookmark not defined)|\?\?\? ?(?:ref|cite)|\\ref\{|\\cite\{|\[citation\]|\btodo\b|\btbd\b|\blorem ipsum\b"
+#: What an author's tools or notes leave behind: failed fields, commands, places to be filled, notes to oneself.
+ARTEFACT = r"(?i)\berror! [a-z ]+ not (?:found|defined)|\?\?+ ?\(?ref|\\(?:ref|eqref|label|cite[a-z]*)\{|\[(?:citation(?: needed)?|ref(?:erence)?|insert [^\]\n]{1,40})\]|\b(?:todo|fixme|tbd|tbc)\b|\blorem ipsum\b"
 CRITERION = r"\b([A-Za-z][A-Za-z0-9-]{1,12})\s*(>=|<=|>|<|≥|≤)\s*(\d+(?:\.\d+)?)"
+# Dots that are no operators.
+UNSUITABLE = {"hyphenation point": "\u2027", "ano teleia": "\u0387"}
 CRITERION_CONTEXT = r"(?i)criteri\w+|threshold|cut[- ]?off|considered (?:acceptable|adequate|good)|acceptable if|regarded as"
 NUMBER_WORDS = dict(zip("one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty sixty seventy eighty ninety hundred".split(), (*range(1, 13), *range(20, 100, 10), 100)))
 
@@ -68,8 +73,15 @@ def artefact_pages(df: DataFrame, id_column: str, text: str) -> DataFrame:
 
 
 def unsuitable_glyphs(df: DataFrame, id_column: str, text: str, least: int = 3) -> DataFrame:
-    """(id, hits): texts with at least three of the two dots that stand in for a multiplication sign."""
-    return df.select(id_column, F.regexp_count(F.col(text), F.lit("[‧·]")).alias("hits")).filter(F.col("hits") >= least)
+    """(id, glyph, hits): texts in which one of the two dots that stand in for an operator, U+2027 and U+0387, stands at least three times between operands.
+
+    The middle dot U+00B7 is an operator and no fault. Null texts give no row.
+    """
+    hit = lambda g: F.struct(F.lit(name).alias("glyph"), F.regexp_count(F.col(text), F.lit(rf"(?<=[\p{{L}}\p{{N}})\]])[ ]?{g}[ ]?(?=[\p{{L}}\p{{N}}(\[])")).alias("hits"))
+    found = []
+    for name, g in UNSUITABLE.items():
+        found.append(hit(g))
+    return df.select(id_column, F.inline(F.array(*found))).filter(F.col("hits") >= least)
 
 
 def stated_total(text: Column) -> Column:
@@ -153,3 +165,15 @@ def nearest_candidates(quotes: DataFrame, sentences: DataFrame, group: str, leas
     runs = near.join(q, ["quote_id", group]).join(c.select(group, "sentence_no", "width", "c_words"), [group, "sentence_no", "width"]).withColumn("run", longest_run(F.col("q_words"), F.col("c_words"))).filter(F.col("run") >= least_run)
     best = runs.groupBy("quote_id").agg(F.max_by(F.struct("sentence_no", "width", "share", "run"), F.struct("share", "run", -F.col("r"))).alias("b"))
     return best.select("quote_id", "b.sentence_no", "b.width", F.round("b.share", 6).alias("share"), "b.run")
+
+
+def all_checks(checks: dict[str, DataFrame], id_column: str) -> DataFrame:
+    """(id, check, finding): the findings of several checks as one table, each row's other columns as JSON; the order of the checks is that of the dict, and repeated findings are kept."""
+    parts = []
+    for at, (name, df) in enumerate(checks.items(), 1):
+        rest = [F.col(f"`{c}`") for c in df.columns if c != id_column]
+        parts.append(df.select(id_column, F.lit(at).alias("check_no"), F.lit(name).alias("check"), F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}).alias("finding")))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole

@@ -18,8 +18,8 @@ NEVER_LAST = ("i.e.", "e.g.", "vs.", "cf.")
 FINDING_SECTIONS = ("missing or unclear", "statistical concerns", "methodological concerns", "statistical / methodological concerns", "table-specific notes", "questions")
 OVERCLAIMS = (r"\bprov(?:es?|ed|en)\b", r"\bguarantee[sd]?\b", r"\bundoubtedly\b", r"\bwithout (?:any )?doubt\b", r"\bconclusively\b", r"\balways\b[^.]{0,40}\bworks\b")
 SELF_REPORTED = r"(?i)\b(?:data|code)\b[^.]{0,40}\bavailab\w+|\bpre-?regist\w+|\btransparen\w+|\breproducib\w+|\bopen (?:data|science|code)\b"
-YEARS = r"\b((?:19|20)\d\d)\s*(?:to|and|[-–])\s*((?:19|20)\d\d)\b"
-SEARCH_WORDS = r"\b(?:search\w*|databases?|literature|records?|retriev\w+)\b"
+YEARS = r"\b((?:18|19|20)\d{2})(?:\s*[-–—/]\s*|\s+(?:to|until|through|and)\s+(?:[a-z]+ )?)((?:18|19|20)\d{2})\b"
+SEARCH_WORDS = r"\b(?:search\w*|retriev\w*|database\w*|bibliograph\w*|indexed|publi(?:shed|cations?)|records?|literature)\b"
 _SPANS = ArrayType(StructType([StructField("start_char", IntegerType()), StructField("end_char", IntegerType())]))
 
 
@@ -133,25 +133,29 @@ def methods_scope(text: Column, floor: int = 200) -> Column:
     return F.nullif(F.regexp_replace(found, r"^\s+|\s+\z", ""), F.lit(""))
 
 
-def synthesis_scope(text: Column, cue: str = r"(?i)\b(?:meta-analys|pooled|synthesi[sz])", before: int = 400, most: int = 6000) -> Column:
-    """From 400 characters before the first cue of a synthesis up to the results' heading, or 6,000 characters; null without a cue."""
+def synthesis_scope(text: Column, cue: str = r"(?i)\b(?:meta-analys|pooled|synthesi[sz])", before: int = 400) -> Column:
+    """From 400 characters before the first cue of a synthesis up to the results' heading, or to the end; null without a cue."""
     at = F.regexp_instr(text, F.lit(cue))
-    start = F.greatest(F.lit(1), at - before)
-    window = F.substring(text, start, F.lit(most))
+    window = F.substring(text, F.greatest(F.lit(1), at - before), F.length(text))
     return F.when(at > 0, F.regexp_replace(window, r"(?ims)^\s*(?:\d+\.?\s*)?results\s*$.*\z", ""))
 
 
-def search_window(df: DataFrame, id_column: str, text: str, narrow: int = 10) -> DataFrame:
-    """(id, first_year, last_year, kind): the narrowest range of years within 300 characters of search words; ten years or fewer are a restriction. Texts without one get no row."""
+def search_window(df: DataFrame, id_column: str, text: str, narrow: int = 10, near: int = 300) -> DataFrame:
+    """(id, first_year, last_year, kind): the narrowest range of years within `near` characters of search words; ten years or fewer are a restriction. Texts without one get no row.
+
+    The context is the text itself before and behind a range, other ranges in it included.
+    """
     t = F.lower(F.col(text))
     ranges, rest = F.regexp_extract_all(t, F.lit(YEARS), F.lit(0)), F.split(t, YEARS, -1)
+    # where each range starts: the lengths of all that stands before it
+    starts = F.transform(ranges, lambda m, i: F.aggregate(F.zip_with(F.slice(rest, 1, i + 1), F.slice(F.concat(F.array(F.lit("")), ranges), 1, i + 1), lambda a, b: F.length(a) + F.length(b)), F.lit(0), lambda n, x: n + x))
 
-    def one(m: Column, i: Column) -> Column:
+    def one(m: Column, start: Column) -> Column:
         first, last = (F.regexp_extract(m, YEARS, k).try_cast("int") for k in (1, 2))
-        around = F.concat(F.right(F.get(rest, i), F.lit(300)), F.lit(" "), F.left(F.get(rest, i + 1), F.lit(300)))
+        around = F.substring(t, F.greatest(F.lit(1), start + 1 - near), F.length(m) + F.least(start, F.lit(near)) + near)
         return F.struct((last - first).alias("span"), first.alias("first_year"), last.alias("last_year"), around.rlike(SEARCH_WORDS).alias("near"))
 
-    spans = F.filter(F.transform(ranges, one), lambda s: s["near"] & (s["span"] >= 0))
+    spans = F.filter(F.zip_with(ranges, starts, one), lambda s: s["near"] & (s["span"] >= 0))
     best = df.select(id_column, F.array_min(spans).alias("b")).filter("b is not null")
     return best.select(id_column, "b.first_year", "b.last_year", F.when(F.col("b.span") <= narrow, "restriction").otherwise("present").alias("kind"))
 

@@ -1,8 +1,9 @@
 """Rule tables over texts: study design, expected elements, Bayesian gate, manifest flags.
 
-Rules are data. Each is one rlike in one select, so that its pattern is compiled once and
-the text is scanned in place; a classification needs no shuffle. Patterns keep to what
-Java and RE2 both read.
+Rules are phrases, not patterns: words in order, `*` for any ending of a word, `|` between
+alternatives of one signal; a space stands for white space or a hyphen. Each signal becomes
+one rlike in one select, so that its pattern is compiled once and the text is scanned in
+place; a classification needs no shuffle. Patterns keep to what Java and RE2 both read.
 """
 
 from __future__ import annotations
@@ -12,53 +13,140 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Designs in order of priority, each with its signals; a strong one is needed, and two in all.
+
+def phrase(signal: str) -> str:
+    """The pattern of a signal: 'random* assign* | coin toss' is either phrase, as whole words."""
+    def one(words: str) -> str:
+        return r"\b" + r"[\s-]+".join(re.escape(w.rstrip("*")) + (r"\w*" if w.endswith("*") else "") for w in words.split()) + (r"\b" if words.strip()[-1].isalnum() else "")
+
+    return "|".join(one(words) for words in signal.split("|"))
+
+
+def _signals(text: str) -> tuple[str, ...]:
+    """The patterns of signals that stand one on a line."""
+    return tuple(phrase(line.strip()) for line in text.strip().splitlines())
+
+
+def _design(strong: str, weak: str) -> dict[str, tuple[str, ...]]:
+    return {"strong": _signals(strong), "weak": _signals(weak)}
+
+
+#: Designs in order of priority: strong signals name what only such a study does, weak ones what others mention too.
 DESIGNS: dict[str, dict[str, tuple[str, ...]]] = {
-    "evidence_synthesis": {"strong": (r"\bprisma\b", r"\bsearch (strategy|string|terms)\b", r"\b(we|authors?) searched\b", r"\brecords? (were )?(identified|screened|retrieved)\b", r"\b(studies|articles|abstracts) were screened\b", r"\b(database|literature|electronic) search(es)?\b"), "weak": (r"\bflow (diagram|chart)\b", r"\bmeta[- ]analys\w+\b", r"\bsystematic (review|search)\b", r"\bscoping review\b", r"\bumbrella review\b", r"\beligib\w+ criteri\w+\b", r"\bdata (were |was )?extract(ed|ion)\b", r"\bincluded (studies|articles|trials)\b", r"\bpooled (estimate|effect|analysis|mean)\b")},
-    "simulation": {"strong": (r"\bdata[- ]generating (process|mechanism|model)\b", r"\b\d[\d,]* (replications|replicates|simulated datasets)\b", r"\bsimulation (study|experiment)\b"), "weak": (r"\bmonte carlo\b", r"\bsimulat\w+ (data|datasets?|samples?|studies)\b")},
-    "randomised_trial": {"strong": (r"\brandom(ly|is\w+|iz\w+) (allocat|assign)\w*\b", r"\ballocation concealment\b", r"\bconsort\b", r"\b(clinicaltrials\.gov|isrctn|trial registration)\b"), "weak": (r"\b(control|placebo|sham|comparator) group\b", r"\b(intervention|treatment) (arm|group)\b", r"\b(single|double|triple)[- ]blind\w*\b")},
-    "qualitative": {"strong": (r"\bthematic analysis\b", r"\bgrounded theory\b", r"\bsemi[- ]structured interviews?\b", r"\bfocus groups?\b"), "weak": (r"\b(data|thematic) saturation\b", r"\btranscri(bed|pts?)\b")},
-    "measurement_validation": {"strong": (r"\blimits of agreement\b", r"\bbland[- ]altman\b", r"\btest[- ]retest\b", r"\btypical error\b", r"\b(validity|reliability|agreement) of the\b"), "weak": (r"\b(criterion|construct|concurrent) validity\b", r"\bintraclass correlation\b", r"\bcoefficient of variation\b", r"\breliabilit\w+\b")},
-    "case_control": {"strong": (r"\bcases? (and|versus|vs\.?) controls?\b", r"\bcase[- ]control\b"), "weak": (r"\bmatched controls?\b",)},
-    "cohort": {"strong": (r"\b(prospective|retrospective) cohort\b", r"\bfollow(ed|[- ]up) (for|of|period)\b", r"\bbaseline\b[^.]{0,60}\bfollow[- ]up\b"), "weak": (r"\blongitudinal\b", r"\b(season|year|month)s? of (data|monitoring|observation)\b")},
-    "survey": {"strong": (r"\bquestionnaire (was|were) (administered|distributed|completed)\b", r"\bresponse rate\b", r"\b(online|web[- ]based|postal) survey\b"), "weak": (r"\brespondents?\b", r"\blikert\b")},
-    "secondary_analysis": {"strong": (r"\bsecondary analysis\b", r"\bpublicly available (data|dataset)\b"), "weak": (r"\bdata (were|was) obtained from\b",)},
-    "cross_sectional": {"strong": (r"\bcross[- ]sectional\b", r"\bsingle (time )?point\b", r"\bone occasion\b"), "weak": (r"\bat a single visit\b",)},
+    "evidence_synthesis": _design(
+        """search strateg* | search terms | search string*
+        databases were searched | we searched | was searched | literature search | database search
+        records were screened | records screened | titles and abstracts
+        studies were included | studies met | articles were included
+        prisma | duplicates were removed
+        data extraction form | extracted by two | extracted independently""",
+        """systematic review*
+        meta analys* | metaanalys*
+        scoping review* | umbrella review* | rapid review*
+        eligibility criteria | inclusion criteria
+        pooled estimate* | pooled effect* | pooled mean*
+        included studies | included trials
+        flow diagram | forest plot* | funnel plot*""",
+    ),
+    "simulation": _design(
+        """simulation study | simulation experiment*
+        data generating
+        simulated datasets | simulated data sets | simulated data | simulated samples""",
+        """monte carlo
+        replications | replicates | repetitions per
+        true parameter* | coverage probabilit* | known truth""",
+    ),
+    "randomised_trial": _design(
+        """randomly assigned | randomly allocated | random allocation | random assignment | were randomised to | were randomized to
+        allocation sequence | allocation concealment | sealed envelope*
+        trial registr* | registered trial | consort
+        randomised controlled | randomized controlled""",
+        """placebo* | sham
+        control arm | control group | intervention arm | treatment arm | intervention group
+        single blind* | double blind* | masked assess* | blinded assess*
+        intention to treat""",
+    ),
+    "qualitative": _design(
+        """thematic analysis | content analysis of interviews
+        grounded theory | phenomenolog*
+        focus group*
+        semi structured interview* | in depth interview*""",
+        """verbatim | transcribed | transcripts
+        saturation
+        coding frame | codebook | reflexiv*""",
+    ),
+    "measurement_validation": _design(
+        """limits of agreement | bland altman
+        test retest
+        intraclass correlation* | measurement error
+        typical error | minimal detectable change | validation of the""",
+        """reliability
+        criterion validity | construct validity | concurrent validity | validity
+        coefficient of variation | coefficients of variation""",
+    ),
+    "case_control": _design("""case control
+        cases and controls | cases versus controls | cases were compared with controls""", """matched control* | matched for age
+        odds ratio* | exposure histor*"""),
+    "cohort": _design(
+        """cohort study | prospective cohort | retrospective cohort | birth cohort
+        followed for | followed up for | were followed | follow up of""",
+        """longitudinal*
+        baseline | at enrolment
+        incidence | person years""",
+    ),
+    "survey": _design("""response rate*
+        online survey | postal survey | web survey | telephone survey | survey was sent
+        completed the questionnaire | questionnaire was | questionnaires were""", """respondent*
+        likert | questionnaire*"""),
+    "secondary_analysis": _design("""secondary analysis | secondary analyses
+        reanalysis of | re analysis of | existing dataset* | archived data""", """publicly available | open data | data were obtained
+        routinely collected | registry data"""),
+    "cross_sectional": _design("""cross sectional
+        one point in time | single visit | one occasion""", """prevalence
+        correlational | associations between"""),
 }
 LEAST_SIGNALS, LEAST_STRONG = 2, {"measurement_validation": 2}
 #: Collocations in which "monte carlo" speaks of estimation and not of a simulation.
 ESTIMATION = r"\b(markov chain|hamiltonian|sequential) monte carlo\b"
 
-# Databases and the platforms that are none.
-DATABASES = ("pubmed", "medline", "embase", "scopus", "web of science", "sportdiscus", "cinahl", "psyc ?info", "cochrane", "google scholar", "proquest", "sciencedirect", "openalex", r"dimensions\.ai", "scielo", "eric", "lilacs")
+# Bibliographic databases, and the platforms through which they are searched.
+DATABASES = ("pubmed", "medline", "embase", "scopus", "web of science", "sportdiscus", "cinahl", "psyc ?info", "cochrane", "google scholar", "openalex", r"dimensions\.ai", "scielo", "eric", "lilacs")
+PLATFORMS = ("ovid", "ebscohost", "proquest", "sciencedirect", "springerlink", "jstor")
 #: Elements that an evidence synthesis should report: what shows each.
 ELEMENTS = {
-    "inclusion_criteria": r"\b(inclusion|eligibility) criteri\w+\b|\bwere eligible if\b|\b(studies|articles|papers) were included if\b",
-    "heterogeneity": r"\bi[- ]squared\b|\btau[- ]?squared\b|\bcochran'?s q\b|\bbetween[- ]stud(y|ies) (variance|heterogeneity)\b|\bheterogeneity (was|were|statistic|estimate)\b",
-    "publication_bias": r"\bfunnel plots?\b|\begger'?s?\b|\btrim[- ]and[- ]fill\b|\bselection model\b|\bsmall[- ]study effects?\b|\bpublication bias (was|were)\b",
-    "risk_of_bias": r"\brisk of bias\b|\bnewcastle[- ]ottawa\b|\bamstar\b|\bcertainty of evidence\b|\bmethodological quality\b|\bcritical appraisal\b",
-    "registration": r"\bprospero\b|\bpre[- ]?regist\w+\b|\bprotocol was registered\b|\bregistration number\b",
-    "independent_screening": r"\b(two|both|independent(ly)?|dual|second)\b[^.]{0,80}\b(review|assess|rat)(er|or)s?\b|\bin duplicate\b",
+    "heterogeneity": phrase("heterogene* | i squared | i2 statistic* | tau squared | tau2 | cochran* q | q statistic | prediction interval* | between study varia*") + "|\\bi²|[τt]au²|τ²|τ2",
+    "publication_bias": phrase("publication bias | small study effect* | funnel plot* | egger* | begg* | trim and fill | fail safe n | selection model* | p curve"),
+    "risk_of_bias": phrase("risk of bias | rob 2 | robins i | quadas* | pedro scale | pedro score* | jadad | newcastle ottawa | amstar* | critical appraisal | methodological quality | quality assessment | certainty of evidence | certainty of the evidence"),
+    "registration": phrase("prospero | preregist* | pre registered | pre registration | registered protocol | protocol was registered | registration number | osf registr*"),
 }
+INCLUSION, EXCLUDED = phrase("inclusion criteri* | eligib* | were included if | we included"), phrase("exclusion criteri* | exclu* | ineligib* | not eligible")
+#: Screening by more than one, said in one sentence: who, and what they did.
+SCREENERS, SCREENED = phrase("two reviewers | two authors | two raters | both authors | pairs of reviewers | second reviewer | second author | independent* | in duplicate | dual"), phrase("screen* | select* | review* | assess* | extract* | code* | rate*")
 #: What a sentence of exclusions may restrict.
-RESTRICTIONS = {"language": r"\benglish\b", "grey_literature": r"\bgr[ea]y literature\b|\bunpublished\b|\bconference abstracts?\b|\bdissertations?\b|\bpreprints?\b", "design": r"\bcross[- ]?over\b|\brepeated[- ]measures?\b|\bsingle[- ]group\b|\bcase (studies|reports?)\b|\bqualitative\b", "publisher": r"\bpredatory\b|\bpublishers?\b"}
-EXCLUSION = r"\bexclu\w+\b|\bnot eligible\b|\bleft out\b"
+RESTRICTIONS = {
+    "language": phrase("english | language* | non english"), "grey_literature": phrase("grey literature | gray literature | unpublished | preprint* | conference abstract* | conference paper* | proceedings | theses | dissertation*"),
+    "design": phrase("crossover | cross over | case report* | case series | case stud* | qualitative | single group | uncontrolled | observational | repeated measures"), "publisher": phrase("predatory | publisher* | beall*"),
+}
+EXCLUSION = phrase("exclu* | ineligible | not eligible | were removed | was removed | were omitted | left out | discarded | not considered | restricted to | limited to")
 #: Signals that a Bayesian analysis was reported, and those that one was run.
 BAYES_STRONG = {"prior": r"\bpriors?\b[^.]{0,60}\b(placed|specified|set|normal|cauchy|flat|informative)\b", "credible_interval": r"\bcredible intervals?\b", "posterior": r"\bposterior (distribution|mean|median|predictive|probability)\b", "bayes_factor": r"\bbayes factors?\b", "sampler": r"\b(mcmc|hamiltonian|gibbs|no-u-turn)\b", "convergence": r"\br[- ]?hat\b|\beffective sample size\b|\btrace plots?\b"}
 BAYES_RUN = r"\b(chains?|iterations|warm-?up|draws)\b|\bbayesian (model|analysis|regression|meta-analysis)\b"
 BAYES_ELEMENTS = {"priors": r"\bpriors?\b", "convergence": r"\br[- ]?hat\b|\beffective sample size\b|\btrace plots?\b|\bconverge\w*\b", "sampler_settings": r"\bchains?\b|\biterations\b|\bdraws\b", "software": r"\b(stan|jags|brms|pymc|winbugs|inla)\b"}
 #: Document-level flags of the manifest.
 FLAGS = {
-    "confidence_intervals": r"\b(95 ?% ?ci|confidence intervals?|with an interval from)\b",
-    "p_values": r"\bp ?(value|[<=>] ?0?\.\d+)",
-    "standard_deviation": r"\bsds? \d|\bstandard deviations?\b",
-    "odds_ratio": r"\bodds ratios?\b",
-    "equation_reference": r"\beq\. ?\d|\bequations?\b",
-    "missing_data": r"\bmissing[- ]data\b|\bdropped out\b|\battrition\b",
+    "confidence_intervals": phrase("confidence interval* | 95 % ci | credible interval* | interval from | interval of") + r"|\b95 ?% ?ci\b",
+    "p_values": r"\bp ?[<=>] ?0?\.\d+|" + phrase("p value*"),
+    "standard_deviation": r"\bsds?\b ?[=:]? ?\d|" + phrase("standard deviation*"),
+    "odds_ratio": phrase("odds ratio*"),
+    "equation_reference": r"\beqs?\. ?\(?\d|" + phrase("equation*"),
+    "missing_data": phrase("missing data | missing value* | missingness | imput* | dropped out | drop out* | dropout* | attrition | lost to follow up"),
 }
 RANDOMISED, NOT_RANDOMISED = r"\brandomi[sz]ed\b|\brandomly\b", r"\b(not|non|without)[- ]?(been |be )?random\w*\b"
 
 
+SENTENCE_END = r"[.;:]\s+"
+
+
 def _alternatives(pattern: str) -> list[str]:
     """The alternatives of a pattern, split at the bars outside of groups and classes."""
     parts, depth, classed, start, i = [], 0, False, 0, 0
@@ -129,17 +217,24 @@ def classified_designs(df: DataFrame, text: str) -> DataFrame:
 def expected_elements(df: DataFrame, text: str) -> DataFrame:
     """One row per text and element of an evidence synthesis, with its kind: present, restriction or absent.
 
-    Two databases are present, one is a restriction. A restriction of the exclusions is
-    only reported where it is found.
+    Two databases are present, one is a restriction; a platform is no database and has a row
+    of its own where it is named. Criteria of inclusion and of exclusion are present
+    together; one without the other is a restriction. Independent screening needs who and
+    what in one sentence. A restriction of the exclusions is only reported where it is found.
     """
     kept = [F.col(c) for c in df.columns if c not in (text, "element", "kind")]
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
     named = _hits(low, [rf"\b{d}\b" for d in DATABASES])
-    found = [F.struct(F.lit("databases").alias("element"), F.when(named >= 2, "present").when(named == 1, "restriction").otherwise("absent").alias("kind"))]
-    found += [F.struct(F.lit(k).alias("element"), F.when(matches(low, p), "present").otherwise("absent").alias("kind")) for k, p in ELEMENTS.items()]
+    row = lambda name, kind: F.struct(F.lit(name).alias("element"), kind.alias("kind"))
+    found = [row("databases", F.when(named >= 2, "present").when(named == 1, "restriction").otherwise("absent")), row("platforms", F.when(_hits(low, [rf"\b{d}\b" for d in PLATFORMS]) > 0, "present"))]
+    found += [row(k, F.when(matches(low, p), "present").otherwise("absent")) for k, p in ELEMENTS.items()]
+    inside, outside = matches(low, INCLUSION), matches(low, EXCLUDED)
+    found.append(row("criteria", F.when(inside & outside, "present").when(inside | outside, "restriction").otherwise("absent")))
+    both = matches(low, SCREENERS) & F.exists(F.split(low, SENTENCE_END), lambda s: s.rlike(SCREENERS) & s.rlike(SCREENED))
+    found.append(row("independent_screening", F.when(both, "present").otherwise("absent")))
     # only texts that speak of exclusions are cut into sentences
-    excluding = F.when(matches(low, EXCLUSION), F.array_join(F.filter(F.split(low, r"[.;:]\s+"), lambda s: s.rlike(EXCLUSION)), " . ")).otherwise("")
-    found += [F.struct(F.lit(f"restricted_{k}").alias("element"), F.when(matches(excluding, p), "restriction").alias("kind")) for k, p in RESTRICTIONS.items()]
+    excluding = F.when(matches(low, EXCLUSION), F.array_join(F.filter(F.split(low, SENTENCE_END), lambda s: s.rlike(EXCLUSION)), " . ")).otherwise("")
+    found += [row(f"restricted_{k}", F.when(matches(excluding, p), "restriction")) for k, p in RESTRICTIONS.items()]
     return df.select(*kept, F.inline(F.array(*found))).filter("kind is not null")
 
 

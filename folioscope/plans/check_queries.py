@@ -93,7 +93,7 @@ def stated_span_states(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("context_id", state.alias("state"))
 
 
-ABSENCES = {"confidence_intervals": r"[^.]*\bintervals? (?:is|are|was|were) not reported", "p_values": r"[^.]*\bp values? (?:is|are|was|were) not reported", "missing_data": r"[^.]*\bit is not stated whether the (?:missing-data rate|attrition figure)[^.]*"}
+ABSENCES = {"confidence_intervals": r"[^.]*\bintervals? (?:is|are|was|were) not reported", "p_values": r"[^.]*\bp values? (?:is|are|was|were) not reported", "missing_data": r"[^.]*\b(?:not stated|not reported|unclear|not said)\b[^.]*\b(?:missing|attrition|dropouts?)\b[^.]*"}
 
 QUERIES = {f.__name__: f for f in (design_classes, expected_elements, bayesian_gate, manifest_flags, contradicted_absences, estimates_outside, percentage_sums, artefact_pages, display_items, truncated_texts, quote_verification, nearest_sentences, nearest_candidates, stated_span_states)}
 
@@ -123,10 +123,14 @@ ORACLES = {
     "design_classes": f"""WITH c AS (SELECT doc_id, {", ".join(f"{s} AS s_{k}, {w} AS w_{k}" for k, (s, w) in _DES.items())} FROM documents)
         SELECT doc_id, CASE {" ".join(f"WHEN {f} THEN '{k}'" for k, f in _FIRES.items())} ELSE 'unclassified' END AS design, CASE {" ".join(f"WHEN {f} THEN s_{k} + w_{k}" for k, f in _FIRES.items())} ELSE 0 END AS signals,
         greatest({" + ".join(f"CAST({f} AS INTEGER)" for f in _FIRES.values())} - 1, 0) AS runners_up FROM c""",
-    "expected_elements": f"""WITH t AS (SELECT doc_id, {_LOW} AS low, array_to_string(list_filter(string_split(regexp_replace({_LOW}, '[.;:]\\s+', chr(1), 'g'), chr(1)), lambda s: {_m("s", R.EXCLUSION)}), ' . ') AS ex FROM documents), d AS (SELECT doc_id, {_n("low", [chr(92) + "b" + x + chr(92) + "b" for x in R.DATABASES])} AS n FROM t)
+    "expected_elements": f"""WITH t AS (SELECT doc_id, {_LOW} AS low, string_split(regexp_replace({_LOW}, '[.;:]\\s+', chr(1), 'g'), chr(1)) AS said FROM documents), x AS (SELECT *, array_to_string(list_filter(said, lambda s: {_m("s", R.EXCLUSION)}), ' . ') AS ex FROM t),
+        d AS (SELECT doc_id, {_n("low", [chr(92) + "b" + x + chr(92) + "b" for x in R.DATABASES])} AS n, {_n("low", [chr(92) + "b" + x + chr(92) + "b" for x in R.PLATFORMS])} AS p, {_m("low", R.INCLUSION)} AS i, {_m("low", R.EXCLUDED)} AS e FROM t)
         SELECT doc_id, 'databases' AS element, CASE WHEN n >= 2 THEN 'present' WHEN n = 1 THEN 'restriction' ELSE 'absent' END AS kind FROM d
+        UNION ALL SELECT doc_id, 'platforms', 'present' FROM d WHERE p > 0
+        UNION ALL SELECT doc_id, 'criteria', CASE WHEN i AND e THEN 'present' WHEN i OR e THEN 'restriction' ELSE 'absent' END FROM d
+        UNION ALL SELECT doc_id, 'independent_screening', CASE WHEN len(list_filter(said, lambda s: {_m("s", R.SCREENERS)} AND {_m("s", R.SCREENED)})) > 0 THEN 'present' ELSE 'absent' END FROM t
         {" ".join(f"UNION ALL SELECT doc_id, '{k}', CASE WHEN {_m('low', p)} THEN 'present' ELSE 'absent' END FROM t" for k, p in R.ELEMENTS.items())}
-        {" ".join(f"UNION ALL SELECT doc_id, 'restricted_{k}', 'restriction' FROM t WHERE {_m('ex', p)}" for k, p in R.RESTRICTIONS.items())}""",
+        {" ".join(f"UNION ALL SELECT doc_id, 'restricted_{k}', 'restriction' FROM x WHERE {_m('ex', p)}" for k, p in R.RESTRICTIONS.items())}""",
     "bayesian_gate": f"""WITH c AS (SELECT doc_id, {_n(_LOW, R.BAYES_STRONG.values())} AS s, {_m(_LOW, R.BAYES_RUN)} AS run, {_n(_LOW, R.BAYES_ELEMENTS.values())} AS e FROM documents)
         SELECT doc_id, s AS strong_signals, s >= 2 AND run AS gate_open, CASE WHEN s >= 2 AND run THEN 4 - e END AS absent_elements FROM c""",
     "manifest_flags": f"SELECT doc_id, {_FLAGSQL} FROM documents",
