@@ -22,10 +22,12 @@ PUBLISHER_GENERIC = ("and", "co", "company", "corporation", "gmbh", "group", "in
 SAME, PROBABLE, YEARS = 0.90, 0.80, 1
 #: Letters of a run by which a name is found in another; parts that the records of a year are divided into.
 RUN, PARTS = 4, 32
+# The dates of a record, the one that counts first.
+DATES = ("published-print", "published-online", "published", "issued")
 #: A record as a bibliographic service answers it.
 ITEM = StructType([
     StructField("title", ArrayType(StringType())), StructField("subtitle", ArrayType(StringType())), StructField("author", ArrayType(StructType([StructField("given", StringType()), StructField("family", StringType()), StructField("name", StringType())]))),
-    StructField("issued", StructType([StructField("date-parts", ArrayType(ArrayType(IntegerType())))])), StructField("container-title", ArrayType(StringType())), StructField("publisher", StringType()), StructField("DOI", StringType()), StructField("type", StringType()),
+    *[StructField(d, StructType([StructField("date-parts", ArrayType(ArrayType(IntegerType())))])) for d in DATES], StructField("container-title", ArrayType(StringType())), StructField("publisher", StringType()), StructField("DOI", StringType()), StructField("type", StringType()),
 ])
 
 
@@ -85,16 +87,57 @@ def probable_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([r if r >= PROBABLE else None for r in found], dtype="float64")
 
 
-def parsed_items(df: DataFrame, json: str) -> DataFrame:
-    """Candidates of df(json): title, subtitle, authors, year, venue, publisher, container_titles, doi, work_type; malformed items are left out."""
+#: A work as an open catalogue answers it: one record of another shape.
+WORK = StructType([
+    StructField("display_name", StringType()), StructField("authorships", ArrayType(StructType([StructField("author", StructType([StructField("display_name", StringType())]))]))), StructField("publication_year", IntegerType()),
+    StructField("primary_location", StructType([StructField("source", StructType([StructField("display_name", StringType()), StructField("host_organization_name", StringType())]))])), StructField("doi", StringType()), StructField("type", StringType()),
+])
+CANDIDATE = ("title", "subtitle", "authors", "year", "venue", "publisher", "container_titles", "doi", "work_type")
+
+
+def _items(df: DataFrame, json: str) -> DataFrame:
     p = F.from_json(F.col(json), ITEM)
     name = lambda a: F.coalesce(a["name"], F.trim(F.concat_ws(" ", a["given"], a["family"])))
-    return df.withColumn("p", p).filter("p is not null and p.title is not null").select(
-        F.get("p.title", 0).alias("title"), F.get("p.subtitle", 0).alias("subtitle"), F.transform("p.author", name).alias("authors"), F.get(F.get("p.issued.date-parts", 0), 0).alias("year"), F.get("p.container-title", 0).alias("venue"),
+    year = F.coalesce(*[F.get(F.get(F.col(f"p.`{d}`.`date-parts`"), 0), 0) for d in DATES])
+    return df.withColumn("p", p).select(
+        *df.columns, F.get("p.title", 0).alias("title"), F.get("p.subtitle", 0).alias("subtitle"), F.transform("p.author", name).alias("authors"), year.alias("year"), F.get("p.container-title", 0).alias("venue"),
         F.col("p.publisher").alias("publisher"), F.col("p.container-title").alias("container_titles"), F.lower("p.DOI").alias("doi"), F.col("p.type").alias("work_type"),
     )
 
 
+def _works(df: DataFrame, json: str) -> DataFrame:
+    p = F.from_json(F.col(json), WORK)
+    venue = F.col("p.primary_location.source.display_name")
+    return df.withColumn("p", p).select(
+        *df.columns, F.col("p.display_name").alias("title"), F.lit(None).cast("string").alias("subtitle"), F.transform("p.authorships", lambda a: a["author"]["display_name"]).alias("authors"), F.col("p.publication_year").alias("year"), venue.alias("venue"),
+        F.col("p.primary_location.source.host_organization_name").alias("publisher"), F.when(venue.isNotNull(), F.array(venue)).alias("container_titles"), F.regexp_replace(F.lower("p.doi"), r"^https?://(?:dx\.)?doi\.org/", "").alias("doi"), F.col("p.type").alias("work_type"),
+    )
+
+
+def parsed_records(df: DataFrame, json: str, catalogue: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(candidates, rejected) of df with a column of JSON: the columns of df beside a candidate's, and those of df beside `fault`.
+
+    A year is that of print, else online, else of any publication, else of issue. Faults:
+    not json, no title. catalogue is True for works of the other shape.
+    """
+    kept = df.select(*[c for c in df.columns if c not in (*CANDIDATE, "fault")])
+    rows = (_works if catalogue else _items)(kept, json)
+    fault = F.when(F.json_object_keys(F.col(json)).isNull(), "not json").when(F.trim(F.coalesce("title", F.lit(""))) == "", "no title")
+    judged = rows.withColumn("fault", fault)
+    return judged.filter("fault is null").drop(json, "fault"), judged.filter("fault is not null").select(*kept.columns, "fault")
+
+
+def parsed_items(df: DataFrame, json: str) -> DataFrame:
+    """Candidates of df(json) alone; what parsed_records rejects is left out."""
+    return parsed_records(df.select(json), json)[0].select(*CANDIDATE)
+
+
+def retrieval_identities(refs: DataFrame, corroboration: DataFrame) -> DataFrame:
+    """(reference_id, identity) of df(reference_id, doi) by df(doi_key, status): 'corroborated' where both databases have its DOI and agree, 'conflict', 'single_source', 'unknown_doi', or 'no_doi'."""
+    rows = refs.select("reference_id", doi_key(F.col("doi")).alias("doi_key")).join(corroboration, "doi_key", "left")
+    return rows.select("reference_id", F.when(F.col("doi_key").isNull(), "no_doi").when(F.col("status").isNull(), "unknown_doi").otherwise(F.col("status")).alias("identity"))
+
+
 def safe_title(title: Column, most_bytes: int = 2048) -> Column:
     """True for a title that may go into a search address as it is: ASCII letters, digits and spaces, no stand-alone AND, OR or NOT, and short enough."""
     words = F.split(F.upper(title), r"\s+")
@@ -120,11 +163,20 @@ def venue_words_match(supplied: Column, venue: Column) -> Column:
     return F.coalesce((F.size(words) > 0) & (F.size(F.array_except(words, F.split(plain_text(venue), " "))) == 0), F.lit(False))
 
 
-def publisher_matches(a: Column, b: Column) -> Column:
-    """True if what names one publisher is part of what names the other; generic words are left aside."""
-    core = lambda c: F.filter(F.split(plain_text(c), " "), lambda w: ~w.isin(*PUBLISHER_GENERIC) & (w != ""))
+def publisher_matches(a: Column, b: Column, likeness=None) -> Column:
+    """True if two publishers' names are alike (`likeness` of two columns; equal plain forms where it is None), or what names one is part of what names the other.
+
+    Generic words are left aside, but a university's press is only one with another
+    university's. Null and blank names match none.
+    """
+    words = lambda c: F.split(plain_text(c), " ")
+    core = lambda c: F.filter(words(c), lambda w: ~w.isin(*PUBLISHER_GENERIC) & (w != ""))
+    alike = likeness(a, b) >= SAME if likeness else plain_text(a) == plain_text(b)
     x, y = core(a), core(b)
-    return F.coalesce((F.size(x) > 0) & (F.size(y) > 0) & ((F.size(F.array_except(x, y)) == 0) | (F.size(F.array_except(y, x)) == 0)), F.lit(False))
+    university = F.array_contains(words(a), "university") == F.array_contains(words(b), "university")
+    part = (F.size(x) > 0) & (F.size(y) > 0) & ((F.size(F.array_except(x, y)) == 0) | (F.size(F.array_except(y, x)) == 0))
+    named = (plain_text(a) != "") & (plain_text(b) != "")
+    return F.coalesce(named & (F.coalesce(alike, F.lit(False)) | university & part), F.lit(False))
 
 
 def author_set(authors: Column) -> Column:

@@ -83,13 +83,14 @@ def tally(df: DataFrame, by: list[str], measure: str) -> DataFrame:
 def presence_matrix(df: DataFrame, rows: str, columns: str) -> DataFrame:
     """(row, column, state): every row value beside every column value, present or ABSENT; nulls are left aside.
 
-    Both sides are the distinct values of a label, a few each, not rows of df.
+    Both sides are the distinct values of a label, not rows of df. The columns that a row
+    has not are taken from the list of all columns; the joins are left to the size check.
     """
     found = df.filter(F.col(rows).isNotNull() & F.col(columns).isNotNull()).groupBy(rows, columns).agg(F.count("*").alias("n"))
-    a, b = found.select(rows).distinct(), found.select(columns).distinct()
-    listed = b.agg(F.array_sort(F.collect_set(columns)).alias("all"))
-    every = a.join(F.broadcast(listed), F.lit(True)).select(rows, F.explode("all").alias(columns))
-    return every.join(found, [rows, columns], "left").select(rows, columns, F.when(F.col("n").isNull(), "ABSENT").otherwise("present").alias("state"), F.coalesce("n", F.lit(0)).alias("n"))
+    listed = found.agg(F.array_sort(F.collect_set(columns)).alias("all"))
+    own = found.groupBy(rows).agg(F.collect_set(columns).alias("has")).withColumn("k", F.lit(1))
+    absent = own.join(listed.withColumn("k", F.lit(1)), "k").select(rows, F.explode(F.array_except("all", "has")).alias(columns), F.lit("ABSENT").alias("state"), F.lit(0).cast("long").alias("n"))
+    return found.select(rows, columns, F.lit("present").alias("state"), "n").unionByName(absent)
 
 
 def first_state(df: DataFrame, group: str, rules: list[tuple[str, Column]], otherwise: str) -> DataFrame:

@@ -36,10 +36,10 @@ def weights(posted: DataFrame, idf: DataFrame) -> DataFrame:
     return raw.join(norms, "id").select("id", "term", (F.col("raw") / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))).alias("w"))
 
 
-def is_meta(heading: Column) -> Column:
-    """True for headings of sections that describe the note. A null heading is none."""
+def is_meta(heading: Column, note: Column | None = None) -> Column:
+    """True for headings of sections that describe the note, and for the note's own title where the note is given. A null heading is none."""
     plain = F.lower(F.trim(F.coalesce(heading, F.lit(""))))
-    hit = F.lit(False)
+    hit = F.lit(False) if note is None else F.coalesce(plain == F.lower(F.trim(note)), F.lit(False))
     for h in META_HEADINGS:
         hit = hit | plain.startswith(h)
     return hit
@@ -65,8 +65,8 @@ def tfidf_scores(queries: DataFrame, passages: DataFrame, n_passages: int) -> Da
 
 
 def demoted(scored: DataFrame, headings: DataFrame) -> DataFrame:
-    """Scores with those of describing sections halved; headings is df(id, heading)."""
-    meta = headings.filter(is_meta(F.col("heading"))).select("id", F.lit(META_WEIGHT).alias("weight"))
+    """Scores with those of describing sections halved; headings is df(id, heading), with the note's title as `note` if it is known."""
+    meta = headings.filter(is_meta(F.col("heading"), F.col("note") if "note" in headings.columns else None)).select("id", F.lit(META_WEIGHT).alias("weight"))
     return scored.join(meta, "id", "left").select("query_id", "id", (F.col("score") * F.coalesce("weight", F.lit(1.0))).alias("score"))
 
 
@@ -88,12 +88,18 @@ def bm25_scores(queries: DataFrame, passages: DataFrame, n_passages: int, k1: fl
 def rank_separation(scored: DataFrame) -> DataFrame:
     """One row (auc): how often a positive of df(score, positive) scores above a negative, ties a half; null without both.
 
-    Counts by score stand for the rows, so no positive meets each negative. Scores are
-    rounded to 4 places before; those of [0, 1] have 10,001 values at most.
+    Counts by exact score stand for the rows, so no positive meets each negative; those below
+    are counted within ranges of scores and over the ranges' totals, so that no window holds
+    all scores.
     """
-    by = scored.filter(F.col("score").isNotNull()).groupBy(F.round("score", 4).alias("score")).agg(F.count_if("positive").cast("double").alias("p"), F.count_if(~F.col("positive")).cast("double").alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    wins = by.withColumn("below", below).agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("wins"), F.sum("p").alias("ps"), F.sum("n").alias("ns"))
+    by = scored.filter(F.col("score").isNotNull()).groupBy("score").agg(F.count_if("positive").cast("double").alias("p"), F.count_if(~F.col("positive")).cast("double").alias("n"))
+    bounds = by.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    # 1,024 ranges at most; bounds is one row
+    ranged = by.join(F.broadcast(bounds), F.lit(True)).withColumn("range", F.when(F.col("hi") > F.col("lo"), F.least(F.lit(1023), F.floor((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 1024))).otherwise(0).cast("int")).drop("lo", "hi")
+    before = lambda group: Window.partitionBy(*group).orderBy("score" if group else "range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("range").agg(F.sum("n").alias("in_range")).withColumn("earlier", F.coalesce(F.sum("in_range").over(before([])), F.lit(0.0))).drop("in_range")
+    placed = ranged.withColumn("own", F.coalesce(F.sum("n").over(before(["range"])), F.lit(0.0))).join(totals, "range")
+    wins = placed.agg(F.sum(F.col("p") * (F.col("earlier") + F.col("own") + F.col("n") / 2)).alias("wins"), F.sum("p").alias("ps"), F.sum("n").alias("ns"))
     return wins.select(F.round(F.when((F.col("ps") > 0) & (F.col("ns") > 0), F.col("wins") / (F.col("ps") * F.col("ns"))), 6).alias("auc"))
 
 

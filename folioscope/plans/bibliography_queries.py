@@ -52,6 +52,11 @@ def author_and_venue_matches(spark: SparkSession, d: str) -> DataFrame:
     return r.join(c, ["title_key", "year"]).select("reference_id", "candidate_id", B.author_matches(F.col("author"), F.col("authors")).alias("author_match"), B.venue_words_match(F.col("r_venue"), F.col("venue")).alias("venue_match"), B.publisher_matches(F.col("r_venue"), F.col("publisher")).alias("publisher_match"))
 
 
+def retrieval_identities(spark: SparkSession, d: str) -> DataFrame:
+    """What the databases say of each reference's DOI."""
+    return B.retrieval_identities(_references(spark, d), B.corroborated(_records(spark, d), "candidate_id"))
+
+
 def safe_titles(spark: SparkSession, d: str) -> DataFrame:
     return _references(spark, d).select("reference_id", B.safe_title(F.col("title")).alias("safe"))
 
@@ -61,7 +66,7 @@ def dangling_references(spark: SparkSession, d: str) -> DataFrame:
     return _references(spark, d).join(table(spark, d, "academic_drafts").select("draft_id"), "draft_id", "left_anti").select("reference_id")
 
 
-QUERIES = {f.__name__: f for f in (doi_keys, union_once, best_records, corroboration, corroboration_by_ratio, reference_verification, author_and_venue_matches, safe_titles, dangling_references)}
+QUERIES = {f.__name__: f for f in (doi_keys, union_once, best_records, corroboration, corroboration_by_ratio, reference_verification, author_and_venue_matches, retrieval_identities, safe_titles, dangling_references)}
 
 _REC = "(SELECT DISTINCT ON (candidate_id) * FROM reference_candidates)"
 _REF = "(SELECT DISTINCT ON (reference_id) * FROM academic_references)"
@@ -85,7 +90,10 @@ ORACLES = {
     "author_and_venue_matches": f"""WITH r AS (SELECT reference_id, author, venue AS r_venue, year, {_PLAIN.format("title")} AS k FROM {_REF}), c AS (SELECT candidate_id, authors, venue, publisher, year, {_PLAIN.format("title")} AS k FROM {_REC})
         SELECT reference_id, candidate_id, coalesce(len(list_filter(authors, lambda a: coalesce({_P} <> '' AND {_PLAIN.format("author")} <> '' AND (contains({_PLAIN.format("author")}, {_P}) OR contains({_P}, {_PLAIN.format("author")}) OR (length(string_split({_P}, ' ')[-1]) > 1 AND list_contains({_W}, string_split({_P}, ' ')[-1]))), false))) > 0, false) AS author_match,
           coalesce(len(list_filter(string_split({_PLAIN.format("r_venue")}, ' '), lambda w: length(w) >= 3)) > 0 AND len(list_filter(string_split({_PLAIN.format("r_venue")}, ' '), lambda w: length(w) >= 3 AND NOT list_contains(string_split({_PLAIN.format("venue")}, ' '), w))) = 0 AND venue IS NOT NULL, false) AS venue_match,
-          coalesce(len({_CORE.format("r_venue")}) > 0 AND len({_CORE.format("publisher")}) > 0 AND (list_has_all({_CORE.format("r_venue")}, {_CORE.format("publisher")}) OR list_has_all({_CORE.format("publisher")}, {_CORE.format("r_venue")})), false) AS publisher_match FROM r JOIN c USING (k, year)""",
+          coalesce({_PLAIN.format("r_venue")} <> '' AND {_PLAIN.format("publisher")} <> '' AND ({_PLAIN.format("r_venue")} = {_PLAIN.format("publisher")} OR list_contains(string_split({_PLAIN.format("r_venue")}, ' '), 'university') = list_contains(string_split({_PLAIN.format("publisher")}, ' '), 'university') AND len({_CORE.format("r_venue")}) > 0 AND len({_CORE.format("publisher")}) > 0 AND (list_has_all({_CORE.format("r_venue")}, {_CORE.format("publisher")}) OR list_has_all({_CORE.format("publisher")}, {_CORE.format("r_venue")}))), false) AS publisher_match FROM r JOIN c USING (k, year)""",
+    "retrieval_identities": "",
     "safe_titles": rf"SELECT reference_id, coalesce(regexp_matches(title, '^[A-Za-z0-9 ]+$') AND len(list_filter(string_split(regexp_replace(upper(title), '\s+', ' ', 'g'), ' '), lambda w: w IN ('AND', 'OR', 'NOT'))) = 0 AND strlen(title) <= 2048, false) AS safe FROM {_REF}",
     "dangling_references": f"SELECT reference_id FROM {_REF} WHERE draft_id NOT IN (SELECT draft_id FROM academic_drafts)",
 }
+ORACLES["retrieval_identities"] = f"""SELECT reference_id, CASE WHEN r.doi_key IS NULL THEN 'no_doi' WHEN status IS NULL THEN 'unknown_doi' ELSE status END AS identity
+    FROM (SELECT reference_id, {_DOI} AS doi_key FROM {_REF}) r LEFT JOIN ({ORACLES["corroboration"]}) USING (doi_key)"""

@@ -33,7 +33,7 @@ def tfidf_topk(spark: SparkSession, d: str) -> DataFrame:
 def tfidf_meta_demoted_topk(spark: SparkSession, d: str) -> DataFrame:
     """The same with describing sections at half their score."""
     p = _passages(spark, d)
-    heads = table(spark, d, "note_passages").select(F.col("passage_id").alias("id"), "heading")
+    heads = table(spark, d, "note_passages").select(F.col("passage_id").alias("id"), "heading", "note")
     return R.top_k(R.demoted(R.tfidf_scores(_questions(spark, d), p, p.count()), heads), 3)
 
 
@@ -44,14 +44,14 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def retrieval_auc(spark: SparkSession, d: str) -> DataFrame:
     """How well the stored scores tell answering sections from describing ones."""
-    rows = table(spark, d, "note_passages").filter("score is not null").select("score", (~R.is_meta(F.col("heading"))).alias("positive"))
+    rows = table(spark, d, "note_passages").filter("score is not null").select("score", (~R.is_meta(F.col("heading"), F.col("note"))).alias("positive"))
     return R.rank_separation(rows)
 
 
 def retrieval_median(spark: SparkSession, d: str) -> DataFrame:
     """Median stored score by kind of section."""
     rows = table(spark, d, "note_passages").filter("score is not null")
-    return rows.groupBy(R.is_meta(F.col("heading")).alias("is_meta")).agg(F.round(F.median("score"), 6).alias("median_score"), F.count("*").alias("n"))
+    return rows.groupBy(R.is_meta(F.col("heading"), F.col("note")).alias("is_meta")).agg(F.round(F.median("score"), 6).alias("median_score"), F.count("*").alias("n"))
 
 
 def sibling_chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -91,7 +91,7 @@ ask AS ({_tokens(_ASKED.format(_ALIAS), "draft_id", "text")}), qraw AS (SELECT i
 q AS (SELECT query_id, term, r / sqrt(sum(r * r) OVER (PARTITION BY query_id)) AS wq FROM qraw),
 scored AS (SELECT query_id, w.id, sum(w * wq) AS score FROM w JOIN q USING (term) GROUP BY ALL)"""
 _TOP = "SELECT query_id, id, rank, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM {}) WHERE rank <= 3"
-_META = " OR ".join(f"starts_with(lower(trim(coalesce(heading, ''))), '{h}')" for h in R.META_HEADINGS)
+_META = " OR ".join(f"starts_with(lower(trim(coalesce(heading, ''))), '{h}')" for h in R.META_HEADINGS) + " OR coalesce(lower(trim(heading)) = lower(trim(note)), false)"
 _CLAIM = "unnest(list_distinct(list_filter(regexp_extract_all(lower({}), '\\d+(?:\\.\\d+)?|[a-z][a-z0-9-]+'), lambda t: regexp_matches(t, '^\\d') OR (length(t) > 2 AND t NOT IN (" + _STOP + ")))))"
 
 ORACLES = {
@@ -102,7 +102,7 @@ ORACLES = {
         ask AS (SELECT DISTINCT id AS query_id, term FROM ({_tokens(_ASKED.format("answer_draft"), "draft_id", "text")})),
         scored AS (SELECT query_id, post.id, sum(greatest(0, ln((n - df + 0.5) / (df + 0.5) + 1)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) AS score
           FROM post JOIN idf USING (term) JOIN ask USING (term) JOIN len ON len.id = post.id, mean, n GROUP BY ALL) {_TOP.format("scored")}""",
-    "retrieval_auc": f"""WITH s AS (SELECT round(score, 4) AS score, NOT ({_META}) AS positive FROM note_passages WHERE score IS NOT NULL)
+    "retrieval_auc": f"""WITH s AS (SELECT score, NOT ({_META}) AS positive FROM note_passages WHERE score IS NOT NULL)
         SELECT round(sum(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0 END) / count(*), 6) AS auc FROM (SELECT score FROM s WHERE positive) p, (SELECT score FROM s WHERE NOT positive) n""",
     "retrieval_median": f"SELECT ({_META}) AS is_meta, round(median(score), 6) AS median_score, count(*) AS n FROM note_passages WHERE score IS NOT NULL GROUP BY 1",
     "sibling_chunks": """WITH h AS (SELECT * FROM note_passages WHERE passage_id % 100 = 0)
