@@ -154,3 +154,98 @@ def observation_differences(cells: DataFrame) -> DataFrame:
     points = F.when(F.size(F.regexp_extract_all(F.lower("section_label"), F.lit(r"(\d+) data points"), F.lit(1))) == 1, F.regexp_extract(F.lower("section_label"), r"(\d+) data points", 1).try_cast("int"))
     rows = cells.withColumn("points", points).withColumn("label", label_key(F.col("row_label"))).filter("points is not null and label is not null")
     return rows.groupBy(*TABLE, "label").agg(F.min("points").alias("fewest"), F.max("points").alias("most")).filter("fewest < most")
+
+
+def record_fields(cells: DataFrame) -> DataFrame:
+    """(record_id, the record's scope, fields): each table row that holds quantities, with its labelled quantities in order of the label; rows of a label that comes twice are left out.
+
+    record_id is the least cell_id of the row. A field is (label, central, lower, upper).
+    """
+    named = with_quantity(cells).filter("central is not null").withColumn("label", label_key(F.col("column_header"))).filter("label is not null")
+    scope = [*TABLE, "section_index", "section_label", "row_index", "row_label", "row_label_header"]
+    listed = named.groupBy(*scope).agg(F.min("cell_id").alias("record_id"), F.array_sort(F.collect_list(F.struct("label", "central", "lower", "upper"))).alias("fields"))
+    return listed.filter(F.size(F.array_distinct(F.col("fields.label"))) == F.size("fields"))
+
+
+def record_correspondences(recs: DataFrame) -> DataFrame:
+    """(left_record, right_record, shared, exact): records of one source with two or more labels whose quantities are equal, nulls included; how many labels they share and how many of these are equal.
+
+    Records meet under two equal fields. Those of one such key are a class, and each is
+    paired with its first record, so that equal records aren't expanded into all pairs.
+    """
+    two = F.flatten(F.transform("fields", lambda x: F.transform(F.filter("fields", lambda y: y["label"] > x["label"]), lambda y: F.to_json(F.array(x, y)))))
+    keyed = recs.filter(F.size("fields") >= 2).select("record_id", "source_name", F.explode(two).alias("key"))
+    first = keyed.groupBy("source_name", "key").agg(F.min("record_id").alias("left_record"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    same = keyed.withColumnRenamed("record_id", "right_record").join(first, (keyed.key == first.key) & keyed.source_name.eqNullSafe(first.source_name)).filter("right_record != left_record").select("left_record", "right_record").distinct()
+    of = lambda side: recs.select(F.col("record_id").alias(f"{side}_record"), F.col("fields").alias(f"{side}_fields"))
+    both = same.join(of("left"), "left_record").join(of("right"), "right_record")
+    shared = F.array_intersect(F.col("left_fields.label"), F.col("right_fields.label"))
+    return both.select("left_record", "right_record", F.size(shared).alias("shared"), F.size(F.array_intersect("left_fields", "right_fields")).alias("exact"))
+
+
+def record_relationships(pairs: DataFrame, recs: DataFrame) -> DataFrame:
+    """For pairs of records (left_record, right_record) which parts of their scope are the same and known, and their labels in common and of one side only, sorted."""
+    columns = [*TABLE, "section_label", "row_label", "fields"]
+    of = lambda side: recs.select(F.col("record_id").alias(f"{side}_record"), F.struct(*columns).alias(side))
+    both = pairs.select("left_record", "right_record").join(of("left"), "left_record").join(of("right"), "right_record")
+    same = lambda c: F.coalesce(F.col(f"left.{c}") == F.col(f"right.{c}"), F.lit(False))
+    label = lambda c: F.coalesce(label_key(F.col(f"left.{c}")) == label_key(F.col(f"right.{c}")), F.lit(False))
+    source = F.col("left.source_name").eqNullSafe(F.col("right.source_name"))
+    x, y = F.col("left.fields.label"), F.col("right.fields.label")
+    listed = lambda labels: F.array_join(F.array_sort(labels), "; ")
+    return both.select(
+        "left_record", "right_record", source.alias("same_source"), (source & same("page")).alias("same_page"), (source & same("table_evidence_id")).alias("same_known_table"), label("section_label").alias("same_section_label"), label("row_label").alias("same_row_label"),
+        listed(F.array_intersect(x, y)).alias("shared_labels"), listed(F.array_except(x, y)).alias("left_only"), listed(F.array_except(y, x)).alias("right_only"),
+    )
+
+
+def covariate_differences(recs: DataFrame) -> DataFrame:
+    """(source_name, table_evidence_id, section_index, section, left_label, right_label): different entries of one known table's section under the header 'covariate analysis', each beside the first."""
+    rows = recs.filter("section_index is not null").select("source_name", "table_evidence_id", "section_index", label_key(F.col("section_label")).alias("section"), label_key(F.col("row_label_header")).alias("header"), label_key(F.col("row_label")).alias("label"))
+    rows = rows.filter("table_evidence_id is not null and source_name is not null and section is not null and label is not null and header = 'covariate analysis'").select("source_name", "table_evidence_id", "section_index", "section", "label").distinct()
+    group = ["source_name", "table_evidence_id", "section_index", "section"]
+    first = rows.groupBy(*group).agg(F.min("label").alias("left_label"))
+    return rows.join(first, group).filter("label > left_label").select(*group, "left_label", F.col("label").alias("right_label"))
+
+
+def compared_values(pairs: DataFrame) -> DataFrame:
+    """pairs of values, with what may be said of each and the difference right - left.
+
+    pairs has left_ and right_ of evidence_id, parameter, outcome, estimate and
+    interval_lower. 'unresolved' where an estimate or parameter is unknown, 'not comparable'
+    where the parameters differ, or the outcomes as far as either is known, or only one has
+    an interval, else 'opportunity', which alone has a difference.
+    """
+    key = lambda c: (label_key(F.col(f"left_{c}")), label_key(F.col(f"right_{c}")))
+    (p, q), (o, u) = key("parameter"), key("outcome")
+    state = (
+        F.when(F.col("left_estimate").isNull() | F.col("right_estimate").isNull() | p.isNull() | q.isNull(), "unresolved").when(p != q, "not comparable").when(~o.eqNullSafe(u), "not comparable")
+        .when(F.col("left_interval_lower").isNull() != F.col("right_interval_lower").isNull(), "not comparable").otherwise("opportunity")
+    )
+    ident = F.substring(F.sha2(F.concat_ws("|", F.least("left_evidence_id", "right_evidence_id"), F.greatest("left_evidence_id", "right_evidence_id")), 256), 1, 16)
+    return pairs.withColumn("comparison_id", ident).withColumn("state", state).withColumn("difference", F.when(F.col("state") == "opportunity", F.round(F.col("right_estimate") - F.col("left_estimate"), 6)))
+
+
+def value_pairs(values: DataFrame) -> DataFrame:
+    """Each value beside the first one (least cell_id) of its source and parameter: pairs for compared_values, as many as values and no window."""
+    rows = values.filter("parameter is not null").withColumn("p", label_key(F.col("parameter")))
+    first = rows.groupBy("source_name", "p").agg(F.min("cell_id").alias("first_cell"))
+    columns = ("evidence_id", "parameter", "outcome", "estimate", "interval_lower")
+    left = rows.join(first.select("first_cell"), F.col("cell_id") == F.col("first_cell"), "left_semi").select("source_name", "p", F.col("cell_id").alias("left_cell"), *[F.col(c).alias(f"left_{c}") for c in columns])
+    right = rows.select(F.col("source_name").alias("right_source"), F.col("p").alias("right_p"), F.col("cell_id").alias("right_cell"), *[F.col(c).alias(f"right_{c}") for c in columns])
+    return right.join(left, (F.col("right_p") == F.col("p")) & F.col("right_source").eqNullSafe(F.col("source_name"))).filter("right_cell != left_cell").drop("right_source", "right_p", "p")
+
+
+def table_pages(cells: DataFrame) -> DataFrame:
+    """(source_name, page, table_evidence_id, table_no, cells): the known tables of each known page in the order of their first cell."""
+    tables = cells.filter("page is not null and table_evidence_id is not null").groupBy("source_name", "page", "table_evidence_id").agg(F.min("cell_id").alias("first_cell"), F.count("*").alias("cells"))
+    return tables.withColumn("table_no", F.row_number().over(Window.partitionBy("source_name", "page").orderBy("first_cell")).cast("long")).select("source_name", "page", "table_evidence_id", "table_no", "cells")
+
+
+def best_tables(cells: DataFrame) -> DataFrame:
+    """(source_name, page, caption, table_evidence_id, filled, columns): of the extractions of one captioned table of a page the one with the most filled cells, then columns, then the lesser id; the others are its duplicates."""
+    filled = F.trim(F.coalesce("value", F.lit(""))) != ""
+    rows = cells.filter("page is not null and table_evidence_id is not null").withColumn("label", label_key(F.col("caption"))).filter("label is not null")
+    tables = rows.groupBy("source_name", "page", "label", "table_evidence_id").agg(F.count_if(filled).alias("filled"), F.count_distinct("column_index").alias("columns"))
+    order = Window.partitionBy("source_name", "page", "label").orderBy(F.desc("filled"), F.desc("columns"), "table_evidence_id")
+    return tables.withColumn("r", F.row_number().over(order)).withColumn("candidates", F.count("*").over(Window.partitionBy("source_name", "page", "label"))).filter("r = 1").select("source_name", "page", F.col("label").alias("caption"), "table_evidence_id", "filled", "columns", "candidates")
