@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.text import near_words, numbers, quote_key, to_number
 from folioscope.operators.claims import longest_run
-from folioscope.operators.segments import adjacent_pairs, filled_forward, line_rows, sentence_rows
+from folioscope.operators.segments import BREAK, adjacent_pairs, filled_forward, line_rows, sentence_rows
 
 _N = r"[-+]?\d+(?:\.\d+)?"
 _TO = r"(?: to |, ?| ?; ?| ?– ?)"
@@ -48,7 +48,11 @@ def criteria(df: DataFrame, id_column: str, text: str) -> DataFrame:
     a value is reported as "name was 4", "name = 4" or "name of 4" in another place.
     """
     rows = sentence_rows(df.select(id_column, text), text)
-    said = rows.filter(F.col("sentence").rlike(CRITERION_CONTEXT)).select(id_column, "sentence_no", F.explode(F.regexp_extract_all("sentence", F.lit(CRITERION), F.lit(0))).alias("m"))
+    # a colon ends a sentence here, so what announces the thresholds may be the one before
+    sentences = F.split(F.col(text), BREAK)
+    announced = lambda s: s.rlike(CRITERION_CONTEXT) & s.rlike(r":\s*$")
+    listed = F.transform(sentences, lambda s, i: F.struct(i.alias("sentence_no"), F.when(s.rlike(CRITERION_CONTEXT) | F.coalesce(announced(F.get(sentences, i - 1)), F.lit(False)), s).alias("sentence")))
+    said = df.select(id_column, F.inline(listed)).filter("sentence is not null").select(id_column, "sentence_no", F.explode(F.regexp_extract_all("sentence", F.lit(CRITERION), F.lit(0))).alias("m"))
     said = said.select(id_column, "sentence_no", F.lower(F.regexp_extract("m", CRITERION, 1)).alias("name"), F.translate(F.regexp_extract("m", CRITERION, 2), "≥≤", "GL").alias("operator"), F.regexp_extract("m", CRITERION, 3).cast("double").alias("threshold"))
     first = said.withColumn("r", F.row_number().over(Window.partitionBy(id_column, "name").orderBy("sentence_no"))).filter("r = 1").drop("r", "sentence_no").withColumn("operator", F.when(F.col("operator") == "G", ">=").when(F.col("operator") == "L", "<=").otherwise(F.col("operator")))
     reported = r"\b([A-Za-z][A-Za-z0-9-]{1,12})\s*(?:=|of|was|were|is|are|:)\s*(\d+(?:\.\d+)?)"
@@ -77,7 +81,7 @@ def unsuitable_glyphs(df: DataFrame, id_column: str, text: str, least: int = 3)
 
     The middle dot U+00B7 is an operator and no fault. Null texts give no row.
     """
-    hit = lambda g: F.struct(F.lit(name).alias("glyph"), F.regexp_count(F.col(text), F.lit(rf"(?<=[\p{{L}}\p{{N}})\]])[ ]?{g}[ ]?(?=[\p{{L}}\p{{N}}(\[])")).alias("hits"))
+    hit = lambda g: F.struct(F.lit(name).alias("glyph"), F.regexp_count(F.col(text), F.lit(rf"(?<=[0-9A-Za-z)\s]){g}(?=[0-9A-Za-z(\s√])")).alias("hits"))
     found = []
     for name, g in UNSUITABLE.items():
         found.append(hit(g))

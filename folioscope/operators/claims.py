@@ -143,12 +143,15 @@ def version_stamp(files: DataFrame) -> DataFrame:
     return files.agg(F.substring(F.sha1(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("name", F.hex("content").alias("h")))), lambda x: x["h"])).cast("binary")), 1, 8).alias("stamp"))
 
 
-def unmarked_quotes(text: str, unverified: list[str]) -> str:
-    """A report in which quotations that did not hold lose their marks and are tagged, once."""
-    for q in unverified:
+def unmarked_quotes(text: Column, unverified: Column) -> Column:
+    """A report in which the quotations of an array that did not hold lose their marks and are tagged, once; null stays null."""
+    def one(report: Column, q: Column) -> Column:
+        plain = F.concat(q, F.lit(" [not a verified quotation]"))
         for a, b in (('"', '"'), ("“", "”")):
-            text = text.replace(f"{a}{q}{b}", f"{q} [not a verified quotation]")
-    return text
+            report = F.replace(report, F.concat(F.lit(a), q, F.lit(b)), plain)
+        return report
+
+    return F.aggregate(F.coalesce(unverified, F.array().cast("array<string>")), text, one)
 
 
 def shared_words(a: Column, b: Column) -> Column:

@@ -137,3 +137,9 @@ def missing_claims(discovered: DataFrame, known: DataFrame, key: list[str]) -> D
     for c in key:
         same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
     return a.join(b, same, "left_anti")
+
+
+def ordered_by_evidence(items: DataFrame, group: str, label: str, position: str) -> DataFrame:
+    """items with `place`, from 1 in each group: those whose evidence is High first, then Moderate, Low and none; those alike keep their order."""
+    rank = F.when(F.col(label) == "High", 0).when(F.col(label) == "Moderate", 1).when(F.col(label) == "Low", 2).otherwise(3)
+    return items.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(rank, position)).cast("long"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("packed_queries", "retrieval_queries", "segment_queries", "cell_queries", "check_queries", "bibliography_queries", "report_queries", "manuscript_queries", "stream_queries")
+MODULES = ("packed_queries", "retrieval_queries", "segment_queries", "cell_queries", "check_queries", "bibliography_queries", "report_queries", "manuscript_queries", "stream_queries", "fixture_queries")
 
 
 def collected(kind: str) -> dict:

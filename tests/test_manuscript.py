@@ -142,7 +142,8 @@ def test_labels_and_text(spark):
     assert [r.x for r in runs.select(C.longest_run(F.col("a"), F.col("b")).alias("x")).collect()] == [2, 0]
     assert one(spark, "a|b\nc", C.markdown_cell) == "a\\|b c" and one(spark, "a ``` b", C.fenced).startswith("````\n")
     assert one(spark, "x" * 70_000, C.generation_ceiling) == 20_000 and one(spark, None, C.generation_ceiling) == 4000
-    assert C.unmarked_quotes('He said "a b".', ["a b"]) == "He said a b [not a verified quotation]." == C.unmarked_quotes(C.unmarked_quotes('He said "a b".', ["a b"]), ["a b"])
+    quoted = F.array(F.lit("a b"))
+    assert one(spark, 'He said "a b".', lambda c: C.unmarked_quotes(c, quoted)) == "He said a b [not a verified quotation]." == one(spark, 'He said "a b".', lambda c: C.unmarked_quotes(C.unmarked_quotes(c, quoted), quoted))
 
 
 def test_anchored_patterns_match_as_plain_ones(spark):
