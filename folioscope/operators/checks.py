@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.text import near_words, numbers, quote_key, to_number
 from folioscope.operators.claims import longest_run
-from folioscope.operators.segments import BREAK, adjacent_pairs, filled_forward, line_rows, sentence_rows
+from folioscope.operators.segments import BREAK, adjacent_pairs, filled_lines, sentence_rows
 
 _N = r"[-+]?\d+(?:\.\d+)?"
 _TO = r"(?: to |, ?| ?; ?| ?– ?)"
@@ -72,7 +72,7 @@ def percentage_sums(df: DataFrame, id_column: str, text: str) -> DataFrame:
 
 def artefact_pages(df: DataFrame, id_column: str, text: str) -> DataFrame:
     """(id, page, hits): authoring artefacts by page; page 0 is before the first marker."""
-    lines = filled_forward(line_rows(df, id_column, text), id_column, F.regexp_extract("line", r"^\[Page (\d+)\]", 1).try_cast("int"), "page")
+    lines = filled_lines(df, id_column, text, lambda s: F.regexp_extract(s, r"^\[Page (\d+)\]", 1).try_cast("int"), "page")
     return lines.withColumn("hits", F.regexp_count("line", F.lit(ARTEFACT))).filter("hits > 0").groupBy(id_column, F.coalesce("page", F.lit(0)).alias("page")).agg(F.sum("hits").alias("hits"))
 
 
@@ -151,16 +151,16 @@ def run_words(text: Column) -> Column:
     return F.filter(words, lambda w: ~w.isin(*RUN_STOP) & (F.length(w) > 1))
 
 
-def nearest_candidates(quotes: DataFrame, sentences: DataFrame, group: str, least_words: int = 5, least_share: float = 0.7, least_run: int = 3, shortlist: int = 12) -> DataFrame:
+def nearest_candidates(quotes: DataFrame, sources: DataFrame, group: str, text: str, least_words: int = 5, least_share: float = 0.7, least_run: int = 3, shortlist: int = 12) -> DataFrame:
     """(quote_id, sentence_no, width, share, run): the sentence, or the sentence with the next one (width 2), of the same group that a quote is nearest to.
 
-    As nearest_sentences, over sentences and adjacent pairs: of the `shortlist` that hold most
+    As nearest_sentences, over the sentences of sources(group, text) and adjacent pairs: of the `shortlist` that hold most
     of a quote's words, the shorter first, those with `least_run` of its words in a row, and of
     these the best by (share, run).
     """
     guard = r"(?i)\[[^\]]*(?:PREVIEW CUT SHORT|DO NOT QUOTE)[^\]]*\]"
     q = quotes.select("quote_id", group, run_words(F.regexp_replace("quote", guard, " ")).alias("q_words")).filter(F.size("q_words") >= least_words)
-    c = adjacent_pairs(sentences, group).select(group, "sentence_no", "width", F.length("candidate").alias("chars"), run_words(F.col("candidate")).alias("c_words"))
+    c = adjacent_pairs(sources, group, text).select(group, "sentence_no", "width", F.length("candidate").alias("chars"), run_words(F.col("candidate")).alias("c_words"))
     words = q.select("quote_id", group, F.size(F.array_distinct("q_words")).alias("size"), F.explode(F.array_distinct("q_words")).alias("word"))
     held = words.join(c.select(group, "sentence_no", "width", "chars", F.explode(F.array_distinct("c_words")).alias("word")), [group, "word"]).groupBy("quote_id", group, "size", "sentence_no", "width", "chars").agg(F.count("*").alias("both"))
     near = held.withColumn("share", F.col("both") / F.col("size")).filter(F.col("share") >= least_share)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from folioscope.functions.text import MINUS_GLYPHS, numbers, to_number
-from folioscope.operators.segments import filled_forward, line_rows, paragraphs, sentence_rows
+from folioscope.operators.segments import filled_forward, filled_lines, item_runs, line_rows, paragraphs_of, sentence_rows
 
 # Abbreviations after which no sentence ends; "et al." ends one only before a capital.
 NEVER_LAST = ("i.e.", "e.g.", "vs.", "cf.")
@@ -63,16 +63,15 @@ def contained_spans(inner: DataFrame, outer: DataFrame, group: str) -> DataFrame
 
 def answer_blocks(df: DataFrame, id_column: str, text: str) -> DataFrame:
     """(id, paragraph_no, page, paragraph): paragraphs with the page marker at or before them; 0 before the first."""
-    rows = paragraphs(df, id_column, text).withColumnRenamed("paragraph_no", "line_no")
-    marker = F.element_at(F.regexp_extract_all("paragraph", F.lit(r"\[Page (\d+)\]"), F.lit(1)), 1).try_cast("int")
-    filled = filled_forward(rows.withColumn("has", F.size(F.regexp_extract_all("paragraph", F.lit(r"\[Page (\d+)\]"), F.lit(1))) > 0), id_column, F.when(F.col("has"), marker), "page")
-    return filled.select(id_column, F.col("line_no").alias("paragraph_no"), F.coalesce("page", F.lit(0)).alias("page"), "paragraph")
+    marker = lambda p: F.try_element_at(F.regexp_extract_all(p, F.lit(r"\[Page (\d+)\]"), F.lit(1)), F.lit(1)).try_cast("int")
+    filled = filled_forward(df, id_column, paragraphs_of(F.col(text)), marker, "page", "paragraph")
+    return filled.select(id_column, "paragraph_no", F.coalesce("page", F.lit(0)).alias("page"), "paragraph")
 
 
 def table_lines(df: DataFrame, id_column: str, text: str) -> DataFrame:
     """(id, label, line_no, line): lines of a block by the table label at or above them, as 4 or 4a; lines above any label are left out."""
-    label = F.nullif(F.lower(F.regexp_extract("line", r"(?i)^\s*(?:label:\s*)?table\s+(\d+[a-z]?)\b", 1)), F.lit(""))
-    return filled_forward(line_rows(df, id_column, text), id_column, label, "label").filter("label is not null")
+    label = lambda s: F.nullif(F.lower(F.regexp_extract(s, r"(?i)^\s*(?:label:\s*)?table\s+(\d+[a-z]?)\b", 1)), F.lit(""))
+    return filled_lines(df, id_column, text, label, "label").filter("label is not null")
 
 
 def looks_damaged(block: Column) -> Column:
@@ -90,14 +89,11 @@ def fragmentation(block: Column) -> Column:
 
 def candidate_findings(df: DataFrame, id_column: str, text: str) -> DataFrame:
     """(id, finding_no, section, finding): bullets of the sections that hold findings, with their continuation lines."""
-    heading = F.nullif(F.lower(F.trim(F.regexp_replace(F.regexp_extract("line", r"^(?:#{1,6}\s+|\*\*)(\S.*)$", 1), r"[*:]+\s*$", ""))), F.lit(""))
-    rows = filled_forward(line_rows(df, id_column, text), id_column, heading, "section")
-    order = Window.partitionBy(id_column).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    bullet = F.col("line").rlike(r"^\s*(?:[-*•]|\d+[.)])\s+")
-    rows = rows.withColumn("finding_no", F.count_if(bullet).over(order)).withColumn("head", F.max(F.when(heading.isNotNull(), F.col("line_no"))).over(order)).withColumn("last", F.max(F.when(bullet, F.col("line_no"))).over(order))
-    kept = rows.filter(F.col("section").isin(*FINDING_SECTIONS) & (F.col("finding_no") > 0) & (F.trim("line") != "") & (F.coalesce("head", F.lit(0)) < F.col("last")))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.trim("line").alias("t")))), lambda x: x["t"])
-    return kept.groupBy(id_column, "finding_no").agg(F.min("section").alias("section"), F.regexp_replace(F.array_join(lines, " "), r"^(?:[-*•]|\d+[.)])\s+", "").alias("finding"))
+    heading = lambda s: F.nullif(F.lower(F.trim(F.regexp_replace(F.regexp_extract(s, r"^(?:#{1,6}\s+|\*\*)(\S.*)$", 1), r"[*:]+\s*$", ""))), F.lit(""))
+    items = df.select(id_column, F.inline(item_runs(F.col(text), heading, lambda s: s.rlike(r"^\s*(?:[-*•]|\d+[.)])\s+"), lambda s: F.lit(False))))
+    lines = F.filter(F.transform("lines", lambda s: F.trim(s)), lambda s: s != "")
+    kept = items.filter(F.col("heading").isin(*FINDING_SECTIONS))
+    return kept.select(id_column, F.col("item_no").cast("long").alias("finding_no"), F.col("heading").alias("section"), F.regexp_replace(F.array_join(lines, " "), r"^(?:[-*•]|\d+[.)])\s+", "").alias("finding"))
 
 
 def item_fields(item: Column) -> Column:
@@ -111,8 +107,8 @@ def item_fields(item: Column) -> Column:
 
 def self_reported_strengths(df: DataFrame, id_column: str, text: str) -> DataFrame:
     """(id, line_no, line, term): bullets under 'Major strengths' that rest on what a manuscript says of its own openness."""
-    heading = F.nullif(F.lower(F.trim(F.regexp_extract("line", r"^#{1,3}\s*(\S.*)$", 1))), F.lit(""))
-    rows = filled_forward(line_rows(df, id_column, text), id_column, heading, "section")
+    heading = lambda s: F.nullif(F.lower(F.trim(F.regexp_extract(s, r"^#{1,3}\s*(\S.*)$", 1))), F.lit(""))
+    rows = filled_lines(df, id_column, text, heading, "section")
     return rows.filter((F.col("section") == "major strengths") & F.col("line").rlike(r"^\s*[-*•]\s") & F.col("line").rlike(SELF_REPORTED)).select(id_column, "line_no", "line", F.regexp_extract("line", SELF_REPORTED, 0).alias("term"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import content_words, label_key
-from folioscope.operators.segments import filled_forward, line_rows
+from folioscope.operators.segments import item_runs, line_rows
 
 #: Shared words of two items from which the later one repeats the earlier.
 REPEATED = 0.6
@@ -19,14 +19,11 @@ def list_items(df: DataFrame, id_column: str, text: str) -> DataFrame:
     An item starts at a line with a mark; lines after it belong to it until a blank line,
     a heading or the next mark. What is no item is left out; see loose_lines.
     """
-    lines = filled_forward(line_rows(df, id_column, text), id_column, F.nullif(F.regexp_extract("line", r"^#{1,6}\s+(\S.*)$", 1), F.lit("")), "heading")
-    kind = F.when(F.trim("line") == "", "blank").when(F.col("line").rlike(r"^#{1,6}\s"), "heading").when(F.col("line").rlike(MARK), "mark").otherwise("text")
-    order = Window.partitionBy(id_column).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("kind", kind).withColumn("item_no", F.count_if(F.col("kind") == "mark").over(order)).withColumn("last_break", F.max(F.when(F.col("kind").isin("blank", "heading"), F.col("line_no"))).over(order)).withColumn("last_mark", F.max(F.when(F.col("kind") == "mark", F.col("line_no"))).over(order))
-    inside = rows.filter((F.col("item_no") > 0) & F.col("kind").isin("mark", "text") & (F.coalesce("last_break", F.lit(0)) < F.col("last_mark")))
-    # an item is a few lines
-    grouped = inside.groupBy(id_column, "item_no").agg(F.min_by("heading", "line_no").alias("heading"), F.count("*").alias("lines"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.trim("line").alias("line")))), lambda x: x["line"]), " ").alias("item"))
-    return grouped.withColumn("item", F.regexp_replace("item", MARK, ""))
+    heading = lambda s: F.nullif(F.regexp_extract(s, r"^#{1,6}\s+(\S.*)$", 1), F.lit(""))
+    items = item_runs(F.col(text), heading, lambda s: s.rlike(MARK), lambda s: (F.trim(s) == "") | s.rlike(r"^#{1,6}\s"))
+    joined = F.array_join(F.transform("__lines", lambda s: F.trim(s)), " ")
+    rows = df.select(id_column, F.inline(items)).withColumnRenamed("lines", "__lines")
+    return rows.select(id_column, F.col("item_no").cast("long").alias("item_no"), "heading", F.size("__lines").cast("long").alias("lines"), F.regexp_replace(joined, MARK, "").alias("item"))
 
 
 def loose_lines(df: DataFrame, id_column: str, text: str) -> DataFrame:

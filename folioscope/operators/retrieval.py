@@ -59,9 +59,11 @@ def tfidf_scores(queries: DataFrame, passages: DataFrame, n_passages: int) -> Da
     posted = postings(passages, "id", "text")
     idf = idf_table(posted, n_passages)
     asked = postings(queries.select("query_id", widened(F.col("text")).alias("text")), "query_id", "text")
-    q = weights(asked, idf).select(F.col("id").alias("query_id"), "term", F.col("w").alias("wq"))
-    # the norms need all terms of a passage, the product only those that are asked for
-    return weights(posted, idf).join(q, "term").groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("wq")).alias("score"))
+    q = weights(asked, idf).join(idf.select("term", "idf"), "term").select(F.col("id").alias("query_id"), "term", (F.col("w") * F.col("idf")).alias("wq"))
+    # the product needs only the postings of asked terms; the norm needs all terms of a passage, but one number of them
+    hits = posted.join(q, "term").groupBy("query_id", "id").agg(F.sum(F.col("tf") * F.col("wq")).alias("product"))
+    norms = posted.join(idf.select("term", "idf"), "term").groupBy("id").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("norm"))
+    return hits.join(norms, "id").select("query_id", "id", (F.col("product") / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))).alias("score"))
 
 
 def demoted(scored: DataFrame, headings: DataFrame) -> DataFrame:
@@ -78,9 +80,9 @@ def bm25_scores(queries: DataFrame, passages: DataFrame, n_passages: int, k1: fl
     df = posted.groupBy("term").agg(F.count("*").alias("df"))
     n = F.lit(float(n_passages))
     idf = df.withColumn("idf", F.greatest(F.lit(0.0), F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)))
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    # mean is one row
-    rows = posted.join(idf, "term").join(asked, "term").join(lengths, "id").join(F.broadcast(mean), F.lit(True))
+    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).join(idf.select("term", "idf"), "term")
+    # only postings of asked terms meet the lengths; mean is one row
+    rows = posted.join(asked, "term").join(lengths, "id").join(F.broadcast(mean), F.lit(True))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
     return rows.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
 

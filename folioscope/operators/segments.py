@@ -18,29 +18,45 @@ NEAR_JACCARD, NEAR_LENGTH_RATIO, NEAR_WORDS = 0.9, 1.15, 8
 BREAK = r"(?<=[.;:!?])\s+"
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once a row."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def sentences_of(text: Column, breaks: str = BREAK) -> Column:
+    """array<string> of a text's sentences, blanks dropped; null of a null text."""
+    return F.filter(F.split(text, breaks), lambda s: F.trim(s) != "")
+
+
 def sentence_rows(df: DataFrame, text: str, breaks: str = BREAK) -> DataFrame:
     """One row per sentence, numbered from 1 in order, cut after . ; : ! ? and white space; blanks are dropped. Null texts give none."""
     kept = [c for c in df.columns if c not in (text, "sentence_no", "sentence")]
-    pieces = F.filter(F.split(F.col(text), breaks), lambda s: F.trim(s) != "")
-    return df.select(*kept, F.posexplode(pieces).alias("at", "sentence")).select(*kept, (F.col("at") + 1).alias("sentence_no"), "sentence")
+    return df.select(*kept, F.posexplode(sentences_of(F.col(text), breaks)).alias("at", "sentence")).select(*kept, (F.col("at") + 1).alias("sentence_no"), "sentence")
+
+
+def adjacent_pairs(df: DataFrame, id_column: str, text: str) -> DataFrame:
+    """(id, sentence_no, width, candidate): near-match candidates: each sentence, and each with the one after it. Made within a text's row, so no sentence is shuffled."""
+    def candidates(sentences: Column) -> Column:
+        one = lambda s, i: F.array(F.struct((i + 1).alias("sentence_no"), F.lit(1).alias("width"), s.alias("candidate")), F.struct((i + 1).alias("sentence_no"), F.lit(2).alias("width"), F.concat(s, F.lit(" "), F.get(sentences, i + 1)).alias("candidate")))
+        return F.filter(F.flatten(F.transform(sentences, one)), lambda c: c["candidate"].isNotNull())
+
+    return df.select(id_column, F.inline(let(sentences_of(F.col(text)), candidates)))
 
 
-def adjacent_pairs(sentences: DataFrame, id_column: str) -> DataFrame:
-    """Near-match candidates: each sentence, and each with the one after it."""
-    order = Window.partitionBy(id_column).orderBy("sentence_no")
-    nxt = F.lead("sentence").over(order)
-    return sentences.withColumn("next", nxt).select(id_column, "sentence_no", F.explode(F.filter(F.array(F.struct(F.lit(1).alias("width"), F.col("sentence").alias("candidate")), F.when(F.col("next").isNotNull(), F.struct(F.lit(2).alias("width"), F.concat_ws(" ", "sentence", "next").alias("candidate")))), lambda x: x.isNotNull())).alias("c")).select(id_column, "sentence_no", "c.width", "c.candidate")
+def consecutive_repeats(df: DataFrame, id_column: str, text: str) -> DataFrame:
+    """(id, sentence_no, jaccard): sentences that say almost the same as the one before: enough words, almost all shared, about as long. Made within a text's row."""
+    def repeats(said: Column) -> Column:
+        def one(s: Column, i: Column) -> Column:
+            before = F.get(said, i - 1)
+            both, either = F.size(F.array_intersect(s["words"], before["words"])), F.size(F.array_union(s["words"], before["words"]))
+            ratio = F.greatest(s["chars"], before["chars"]) / F.least(s["chars"], before["chars"])
+            enough = (i > 0) & (F.size(s["words"]) >= NEAR_WORDS) & (F.size(before["words"]) >= NEAR_WORDS) & (ratio <= NEAR_LENGTH_RATIO)
+            return F.struct((i + 1).alias("sentence_no"), F.when(enough, both / either).alias("jaccard"))
 
+        return F.filter(F.transform(said, one), lambda r: r["jaccard"] >= NEAR_JACCARD)
 
-def consecutive_repeats(sentences: DataFrame, id_column: str) -> DataFrame:
-    """Sentences that say almost the same as the one before: enough words, almost all shared, about as long."""
-    order = Window.partitionBy(id_column).orderBy("sentence_no")
-    rows = sentences.withColumn("words", content_words(F.col("sentence"))).withColumn("before", F.lag("words").over(order)).withColumn("length_before", F.lag(F.length("sentence")).over(order))
-    both, either = F.size(F.array_intersect("words", "before")), F.size(F.array_union("words", "before"))
-    length = F.length("sentence")
-    ratio = F.greatest(length, F.col("length_before")) / F.least(length, F.col("length_before"))
-    enough = (F.size("words") >= NEAR_WORDS) & (F.size("before") >= NEAR_WORDS)
-    return rows.filter(enough & (both / either >= NEAR_JACCARD) & (ratio <= NEAR_LENGTH_RATIO)).select(id_column, "sentence_no", F.round(both / either, 6).alias("jaccard"))
+    said = F.transform(sentences_of(F.col(text)), lambda s: F.struct(content_words(s).alias("words"), F.length(s).alias("chars")))
+    return df.select(id_column, F.inline(let(said, repeats))).select(id_column, "sentence_no", F.round("jaccard", 6).alias("jaccard"))
 
 
 def fixed_segments(df: DataFrame, id_column: str, text: str, size: int) -> DataFrame:
@@ -71,10 +87,14 @@ def coverage_faults(segments: DataFrame, sources: DataFrame, id_column: str, tex
     return inner.unionByName(cut).distinct()
 
 
+def paragraphs_of(text: Column) -> Column:
+    """array<string> of what blank lines part, trimmed, blanks dropped; null of a null text."""
+    return F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda p: F.trim(p)), lambda p: p != "")
+
+
 def paragraphs(df: DataFrame, id_column: str, text: str) -> DataFrame:
     """(id, paragraph_no from 1, paragraph): what blank lines part, trimmed, blanks dropped."""
-    parts = F.filter(F.transform(F.split(F.col(text), r"\n\s*\n"), lambda p: F.trim(p)), lambda p: p != "")
-    return df.select(id_column, F.posexplode(parts).alias("at", "paragraph")).select(id_column, (F.col("at") + 1).alias("paragraph_no"), "paragraph")
+    return df.select(id_column, F.posexplode(paragraphs_of(F.col(text))).alias("at", "paragraph")).select(id_column, (F.col("at") + 1).alias("paragraph_no"), "paragraph")
 
 
 def line_rows(df: DataFrame, id_column: str, text: str) -> DataFrame:
@@ -82,10 +102,50 @@ def line_rows(df: DataFrame, id_column: str, text: str) -> DataFrame:
     return df.select(id_column, F.posexplode(F.split(F.col(text), r"\r\n|\r|\n")).alias("at", "line")).select(id_column, (F.col("at") + 1).alias("line_no"), "line")
 
 
-def filled_forward(lines: DataFrame, id_column: str, value: Column, name: str) -> DataFrame:
-    """df(id, line_no, ...) with the last value not null at or before each line: pages, sections, table labels."""
-    order = Window.partitionBy(id_column).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn(name, F.last(value, ignorenulls=True).over(order))
+LINES = r"\r\n|\r|\n"
+
+
+def _runs(parts: Column, starts: Column) -> Column:
+    """array<struct<at, run>>: the parts from each start, by its place from 0, up to the next one."""
+    return let(starts, lambda at: F.transform(at, lambda a, k: F.struct(a.alias("at"), F.slice(parts, a + 1, F.coalesce(F.get(at, k + 1), F.size(parts)) - a).alias("run"))))
+
+
+def filled_forward(df: DataFrame, id_column: str, parts: Column, value, name: str, part: str = "line") -> DataFrame:
+    """(id, <part>_no from 1, part, name) of an array of a text's parts: each part with the last value not null at or before it, as pages, sections and table labels.
+
+    value is a function of a part. The fill is made within the text's row, by runs from one
+    value to the next, so nothing is shuffled; its work is in proportion to the text.
+    """
+    def runs(ps: Column) -> Column:
+        places = F.filter(F.transform(ps, lambda p, i: F.when(value(p).isNotNull(), i)), lambda i: i.isNotNull())
+        starts = F.when(F.get(places, 0) == 0, places).otherwise(F.concat(F.array(F.lit(0)), places))
+        return F.transform(_runs(ps, starts), lambda r: F.struct(r["at"].alias("at"), value(F.get(r["run"], 0)).alias(name), r["run"].alias("run")))
+
+    filled = df.select(id_column, F.inline(let(parts, runs)))
+    return filled.select(id_column, "at", name, F.posexplode("run").alias("__i", part)).select(id_column, (F.col("at") + F.col("__i") + 1).alias(f"{part}_no"), part, name)
+
+
+def filled_lines(df: DataFrame, id_column: str, text: str, value, name: str) -> DataFrame:
+    """(id, line_no, line, name): filled_forward over the lines of a text, blank ones too."""
+    return filled_forward(df, id_column, F.split(F.col(text), LINES), value, name)
+
+
+def item_runs(text: Column, heading, mark, ends) -> Column:
+    """array<struct<item_no, heading, lines>>: the lines from each mark up to the next mark, heading or end, with the last heading before it; marks are numbered from 1.
+
+    heading, mark and ends are functions of a line: its heading or null, and two conditions.
+    """
+    def items(lines: Column) -> Column:
+        breaks = F.filter(F.transform(lines, lambda s, i: F.when(heading(s).isNotNull() | mark(s) | ends(s), i)), lambda i: i.isNotNull())
+
+        def of(runs: Column) -> Column:
+            heads = F.filter(F.transform(runs, lambda r: F.struct(r["at"].alias("at"), heading(F.get(r["run"], 0)).alias("heading"))), lambda h: h["heading"].isNotNull())
+            marked = F.filter(runs, lambda r: mark(F.get(r["run"], 0)) & heading(F.get(r["run"], 0)).isNull())
+            return let(heads, lambda hs: F.transform(marked, lambda m, k: F.struct((k + 1).alias("item_no"), F.try_element_at(F.filter(hs, lambda h: h["at"] < m["at"]), F.lit(-1))["heading"].alias("heading"), m["run"].alias("lines"))))
+
+        return let(_runs(lines, breaks), of)
+
+    return let(F.split(text, LINES), items)
 
 
 def merged_spans(spans: DataFrame, id_column: str, start: str, end: str) -> DataFrame:

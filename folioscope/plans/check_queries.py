@@ -82,7 +82,7 @@ def nearest_sentences(spark: SparkSession, d: str) -> DataFrame:
 def nearest_candidates(spark: SparkSession, d: str) -> DataFrame:
     """For each source sentence the nearest sentence or adjacent pair of its draft that has a run of its words."""
     drafts = table(spark, d, "academic_drafts").select("draft_id", "answer_draft")
-    return K.nearest_candidates(_quotes(spark, d).select("quote_id", "draft_id", "quote"), sentence_rows(drafts, "answer_draft"), "draft_id")
+    return K.nearest_candidates(_quotes(spark, d).select("quote_id", "draft_id", "quote"), drafts, "draft_id", "answer_draft")
 
 
 def stated_span_states(spark: SparkSession, d: str) -> DataFrame:

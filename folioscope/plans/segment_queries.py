@@ -21,12 +21,12 @@ def sentences(spark: SparkSession, d: str) -> DataFrame:
 
 def adjacent_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Candidates for near matches, counted by document and width."""
-    rows = S.adjacent_pairs(S.sentence_rows(_documents(spark, d), "text"), "doc_id")
+    rows = S.adjacent_pairs(_documents(spark, d), "doc_id", "text")
     return rows.groupBy("doc_id", "width").agg(F.count("*").alias("candidates"), F.sum(F.length("candidate")).alias("chars"))
 
 
 def consecutive_repeats(spark: SparkSession, d: str) -> DataFrame:
-    rows = S.consecutive_repeats(S.sentence_rows(_documents(spark, d), "text"), "doc_id")
+    rows = S.consecutive_repeats(_documents(spark, d), "doc_id", "text")
     return rows.withColumn("sentence_no", F.col("sentence_no").cast("long"))
 
 
@@ -50,17 +50,15 @@ def paragraph_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def page_lines(spark: SparkSession, d: str) -> DataFrame:
     """As-of lookup: each line with a sentence end, by the page marker at or before it; 0 before the first."""
-    lines = S.line_rows(_documents(spark, d), "doc_id", "text")
-    marker = F.regexp_extract("line", r"^\[Page (\d+)\]", 1).try_cast("int")
-    rows = S.filled_forward(lines, "doc_id", marker, "page").filter(F.col("line").rlike(r"[.!?]\s*$"))
+    marker = lambda s: F.regexp_extract(s, r"^\[Page (\d+)\]", 1).try_cast("int")
+    rows = S.filled_lines(_documents(spark, d), "doc_id", "text", marker, "page").filter(F.col("line").rlike(r"[.!?]\s*$"))
     return rows.groupBy("doc_id", F.coalesce("page", F.lit(0)).alias("page")).agg(F.count("*").alias("ended_lines"))
 
 
 def section_fill(spark: SparkSession, d: str) -> DataFrame:
     """Lines of each document by the heading that they stand under."""
-    lines = S.line_rows(_documents(spark, d), "doc_id", "text")
-    heading = F.nullif(F.regexp_extract("line", r"^#{1,6}\s+(\S.*)$", 1), F.lit(""))
-    rows = S.filled_forward(lines, "doc_id", heading, "heading").filter("heading is not null")
+    heading = lambda s: F.nullif(F.regexp_extract(s, r"^#{1,6}\s+(\S.*)$", 1), F.lit(""))
+    rows = S.filled_lines(_documents(spark, d), "doc_id", "text", heading, "heading").filter("heading is not null")
     return rows.groupBy("doc_id", "heading").agg(F.count("*").alias("lines"))
 
 

@@ -303,5 +303,17 @@ def test_empty_tables(spark):
 
 def test_nearest_candidates_span_sentences_and_need_a_run(spark):
     quotes = spark.createDataFrame([(1, 1, "the slope of sleep duration fell after training ended in nurses"), (2, 2, "training reduced muscle soreness among ferry crews"), (3, 3, "training reduced muscle soreness among ferry crews")], "quote_id int, d int, quote string")
-    sentences = spark.createDataFrame([(1, 1, "The slope of sleep duration fell."), (1, 2, "After training ended in nurses, it rose."), (2, 1, "Crews: soreness, ferry, reduced among, muscle, training."), (3, 1, "Among crews ferry soreness muscle reduced training."), (3, 2, "Here training reduced muscle soreness among many ferry crews of the coast.")], "d int, sentence_no int, sentence string")
-    assert [tuple(r)[:3] + (r.run,) for r in K.nearest_candidates(quotes, sentences, "d").orderBy("quote_id").collect()] == [(1, 1, 2, 8), (3, 2, 1, 5)]
+    sources = spark.createDataFrame([(1, "The slope of sleep duration fell. After training ended in nurses, it rose."), (2, "Crews, soreness, ferry, reduced among, muscle, training."), (3, "Among crews ferry soreness muscle reduced training. Here training reduced muscle soreness among many ferry crews of the coast.")], "d int, text string")
+    assert [tuple(r)[:3] + (r.run,) for r in K.nearest_candidates(quotes, sources, "d", "text").orderBy("quote_id").collect()] == [(1, 1, 2, 8), (3, 2, 1, 5)]
+
+
+def test_fills_and_lags_within_a_row(spark):
+    df = spark.createDataFrame([(1, "a\n[Page 2]\nb\n\n[Page 3] c\nd"), (2, "[Page 1]\nx"), (3, ""), (4, None), (5, "no page\r\nat all")], "id long, text string")
+    page = lambda s: F.regexp_extract(s, r"^\[Page (\d+)\]", 1).try_cast("int")
+    assert [(r.id, r.line_no, r.page) for r in S.filled_lines(df, "id", "text", page, "page").orderBy("id", "line_no").collect()] == [(1, 1, None), (1, 2, 2), (1, 3, 2), (1, 4, 2), (1, 5, 3), (1, 6, 3), (2, 1, 1), (2, 2, 1), (3, 1, None), (5, 1, None), (5, 2, None)]
+    pairs = S.adjacent_pairs(spark.createDataFrame([(1, "One. Two. Three"), (2, None), (3, " ")], "id long, text string"), "id", "text")
+    assert rows(pairs.select("sentence_no", "width", "candidate")) == [(1, 1, "One."), (1, 2, "One. Two."), (2, 1, "Two."), (2, 2, "Two. Three"), (3, 1, "Three")]
+    same = "the long slope of sleep fell after training ended in nurses here. "
+    long = spark.createDataFrame([(1, same * 3000), (2, "Short. Short.")], "id long, text string")
+    assert S.consecutive_repeats(long, "id", "text").count() == 2999
+    assert S.filled_lines(spark.createDataFrame([(1, "[Page 1]\nx\n" * 20_000)], "id long, text string"), "id", "text", page, "page").filter("page = 1").count() == 40_001
