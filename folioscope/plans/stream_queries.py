@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.sources.tables import table
+from folioscope.sources.tables import shared_folder, table
 from folioscope.streaming import progress as Z
 
 
@@ -29,9 +28,7 @@ def streamed_event_counts(spark: SparkSession, d: str) -> DataFrame:
     """Events of each type, counted by a stream over the files of the table."""
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).groupBy("event_type").agg(F.count("*").alias("n"), F.count("value").alias("with_value"))
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    name = f"streamed_{uuid.uuid4().hex}"
-    return Z.run_available(stream, name, f"{shared}/{name}" if shared else tempfile.mkdtemp())
+    return Z.run_available(stream, f"{shared_folder(spark)}/streamed_{uuid.uuid4().hex}")
 
 
 def event_props(spark: SparkSession, d: str) -> DataFrame:

@@ -12,9 +12,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores if its files are fewer than half of them; a table of many files is left as it is, so nothing large is shuffled."""
+    """df over all cores if it has so few files that most would idle; the same rows either way. A table of many files isn't shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+    return df.repartition(cores) if len(df.inputFiles()) * 2 <= cores else df
 
 
 def sent_once(df: DataFrame, key: str) -> DataFrame:
@@ -29,18 +29,27 @@ def sent_once(df: DataFrame, key: str) -> DataFrame:
     return df.filter(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(df.filter(F.col(key).isNull()))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage by files that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir, for what all executors must see.
 
-    The folder is the session's spark.checkpoint.dir; where none is set, as in tests on
-    one machine, a temporary folder is made and set.
+    Where none is set, a temporary one, made once, if driver and executors are one process;
+    on a cluster that would be a folder of one machine, so there an error is raised.
     """
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="folioscope-checkpoint-")
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage by files that all executors share, in shared_folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="folioscope-checkpoint-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

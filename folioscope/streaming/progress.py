@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -33,11 +34,19 @@ def windowed_counts(events: DataFrame, ts: str, kind: str, width: str = "1 hour"
     return rows.groupBy(F.window(ts, width), kind).agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), kind, "n")
 
 
-def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """All that a stream has now, by a query that ends when it has read it; the result is an in-memory table."""
-    query: StreamingQuery = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
+    """All that a stream has now, by a query that ends when it has read it.
+
+    The state and the result are files in the folder, which all executors must see; the
+    result of a later batch replaces that of an earlier one, and nothing is held by the driver.
+    """
+    spark, result = stream.sparkSession, f"{folder}/result"
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(result)).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    try:
+        return spark.read.schema(stream.schema).parquet(result)
+    except AnalysisException:  # no batch has come
+        return spark.createDataFrame([], stream.schema)
 
 
 def each_batch(stream: DataFrame, use: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:

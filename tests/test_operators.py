@@ -284,7 +284,7 @@ def test_streams(spark, tmp_path):
     events.write.json(str(tmp_path / "in"))
     assert rows(Z.job_states(events)) == [("j", 2, 2, "complete"), ("k", 1, 1, "running")]
     stream = Z.job_states(Z.progress_events(spark, str(tmp_path / "in")))
-    assert rows(Z.run_available(stream, "test_states", str(tmp_path / "cp"))) == [("j", 2, 2, "complete"), ("k", 1, 1, "running")]
+    assert rows(Z.run_available(stream, str(tmp_path / "cp"))) == [("j", 2, 2, "complete"), ("k", 1, 1, "running")]
     seen = []
     for _ in range(2):  # the second run finds nothing new
         Z.each_batch(Z.progress_events(spark, str(tmp_path / "in")), lambda df, i: seen.extend(df.collect()), str(tmp_path / "cp2")).awaitTermination()
