@@ -210,7 +210,8 @@ def link_names(spellings: DataFrame) -> DataFrame:
     apart = met.join(surnames.toDF("left_word", "l"), "left_word").join(surnames.toDF("right_word", "r"), "right_word").filter("l != r").select(F.col("l").alias("left_word"), F.col("r").alias("right_word")).distinct()
     either = apart.unionAll(apart.select("right_word", "left_word")).toDF("surname", "near_surname")
     # a short surname that full names have too is no slip of another one
-    either = either.filter(F.length("surname") >= SURE_SURNAME).unionByName(either.filter(F.length("surname") < SURE_SURNAME).join(letter.select("surname").distinct(), "surname", "left_anti"))
+    taken = letter.select("surname", F.lit(True).alias("taken")).distinct()
+    either = checkpoint(either.join(taken, "surname", "left").filter((F.length("surname") >= SURE_SURNAME) | F.col("taken").isNull()).drop("taken"))
     typed = short.join(either, "surname").join(letter.withColumnRenamed("surname", "near_surname"), ["near_surname", "letter"]).select("surname", "letter", "initials", "entity", F.lit(1).alias("edits"))
     candidates = exact.select("surname", "letter", "initials", "entity", "edits").unionByName(typed).groupBy("surname", "initials", "entity").agg(F.min("edits").alias("edits"))
     agree = F.col("initials").startswith(F.col("known")) | F.col("known").startswith(F.col("initials"))

@@ -45,7 +45,8 @@ def p3_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every two spellings of one person or study group."""
-    return names.name_pairs(names.link_names(author_spellings(spark, sf_dir)))
+    # written once: the pairs ask for it on both sides
+    return names.name_pairs(checkpoint(names.link_names(author_spellings(spark, sf_dir))))
 
 
 def p4_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
