@@ -22,7 +22,7 @@ def folder(tmp_path_factory):
     return d, con
 
 
-@pytest.mark.parametrize("name", ["tfidf_topk", "tfidf_meta_demoted_topk"])
+@pytest.mark.parametrize("name", ["tfidf_topk", "tfidf_meta_demoted_topk", "bm25_topk"])
 def test_no_row_for_each_pair(spark, folder, name):
     d, con = folder
     written = lambda: sum(s.shuffleWriteRecords() for s in _stages(spark))
